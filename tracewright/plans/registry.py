@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracewright.plans import general
+from tracewright.plans import general, lookups
 
-FLAGSHIP = "p4_found"
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+FLAGSHIP = "lookup_block_user_time"
+QUERIES = {**lookups.QUERIES, **general.QUERIES}
+ORACLE = {**lookups.ORACLE, **general.ORACLE}
