@@ -75,14 +75,14 @@ def attributed(probes: DataFrame, block: DataFrame, ttl: int = 30) -> DataFrame:
     return recent.join(stored, PLACE, "left").withColumn("responsible_id", F.coalesce("recent_id", "stored_id", "user_id"))
 
 
-def near(left: DataFrame, right: DataFrame, dx: int = 5, dy: int = 1, values: list[str] = ("id",)) -> DataFrame:
-    """Pairs of the same world within +-dx in x and z and +-dy in y: right's cells are looked up in the 3x3 cells round left."""
+def near(left: DataFrame, right: DataFrame, dx: int = 5, dy: int = 1, values: list[str] = ("id",), same: list[str] = ("wid",)) -> DataFrame:
+    """Pairs with the same ``same`` columns within +-dx in x and z and +-dy in y: right's cells are looked up in the 3x3 cells round left."""
     cell = lambda c: F.floor(F.col(c) / F.lit(dx)).cast("int")
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     a = left.withColumn("cx", F.explode(F.transform(around, lambda k: cell("x") + k))).withColumn("cz", F.explode(F.transform(around, lambda k: cell("z") + k)))
-    b = right.select("wid", F.col("x").alias("near_x"), F.col("y").alias("near_y"), F.col("z").alias("near_z"), *[F.col(v).alias(f"near_{v}") for v in values], cell("x").alias("cx"), cell("z").alias("cz"))
+    b = right.select(*same, F.col("x").alias("near_x"), F.col("y").alias("near_y"), F.col("z").alias("near_z"), *[F.col(v).alias(f"near_{v}") for v in values], cell("x").alias("cx"), cell("z").alias("cz"))
     close = (F.abs(F.col("x") - F.col("near_x")) <= dx) & (F.abs(F.col("z") - F.col("near_z")) <= dx) & (F.abs(F.col("y") - F.col("near_y")) <= dy)
-    return a.join(b, ["wid", "cx", "cz"]).where(close).drop("cx", "cz")
+    return a.join(b, [*same, "cx", "cz"]).where(close).drop("cx", "cz")
 
 
 def confirmed(proposed: DataFrame, observed: DataFrame, ticks: int, value: str = "type") -> DataFrame:

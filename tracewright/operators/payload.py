@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RAW, ZSTD, LEVEL, LEAST_BYTES, BATCH = 0, 1, 3, 128, 1000
 #: Fixed value: (table, column) pairs whose inline values a backfill moves.
@@ -44,7 +45,7 @@ def policy(size: Column, compressed: Column, enabled: bool = True, least: int =
     return F.when(F.lit(not enabled) | (size < least) | compressed.isNull() | (compressed >= size), RAW).otherwise(ZSTD)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _compress(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import zstandard
 
@@ -53,7 +54,7 @@ def _compress(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda v: None if v is None else c.compress(bytes(v)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _decompress(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import zstandard
 
