@@ -43,13 +43,13 @@ VIEWS: dict[str, tuple[str, str]] = {
  CAST((event_id * 31 % 7) % 4 AS INT) AS rolled_back,
  CASE WHEN event_id % 3 = 0 THEN concat(event_id % 5 + 1, ',', event_id % 4 + 6) ELSE NULL END AS blockdata,
  CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 97 + 1 AS BIGINT) ELSE NULL END AS meta_payload_id FROM {{t}}"""),
-    "site_container": ("lineitem", f"""SELECT CAST(rn AS BIGINT) AS id, {_at("CAST(rn AS BIGINT) * 7777")}, CAST(l_suppkey % 150 + 1 AS INT) AS user_id,
+    "site_container": ("lineitem", f"""SELECT CAST(rn AS BIGINT) AS id, {_at("CAST(rn AS BIGINT) % 1000003 * 7777")}, CAST(l_suppkey % 150 + 1 AS INT) AS user_id,
  CAST(l_linenumber % 3 + 1 AS INT) AS wid, CAST(l_partkey % 17 - 8 AS INT) AS x, CAST(60 + l_linenumber % 2 AS INT) AS y, CAST(l_suppkey % 13 - 6 AS INT) AS z,
  CAST(l_partkey % 11 + 1 AS INT) AS type, CAST(0 AS INT) AS data, CAST(floor(l_quantity) AS INT) AS amount,
  CAST(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS INT) AS action,
  CAST(CASE l_returnflag WHEN 'N' THEN 0 WHEN 'R' THEN 1 ELSE 2 END AS INT) AS rolled_back,
  CASE WHEN l_partkey % 5 = 0 THEN concat('m', l_partkey % 3) ELSE NULL END AS metadata
- FROM (SELECT *, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) * 10000000 + l_partkey * 100 + l_suppkey % 100 AS rn FROM {{t}}) q"""),
+ FROM (SELECT *, (CAST(l_orderkey * 8 + l_linenumber AS BIGINT) * 10000000 + l_partkey * 100 + l_suppkey % 100) * 64 + CAST(floor(l_quantity) AS BIGINT) AS rn FROM {{t}}) q"""),
     "payload_source": ("documents", "SELECT CAST(doc_id + 1 AS BIGINT) AS ref_id, text AS raw, CAST(length(text) AS INT) AS n FROM {t}"),
 }
 #: Families with a given table; re-delivered rows are dropped here in SQL.

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.schema import POSITIONAL, SCHEMAS
 from tracewright.sources import fixtures
@@ -54,7 +55,7 @@ class LogStore:
         for family, schema in SCHEMAS.items():
             path = os.path.join(folder, family)
             try:
-                store.tables[family] = spark.read.schema(schema.add("day", "date") if family in POSITIONAL and "day" not in schema.names else schema).parquet(path)
+                store.tables[family] = spark.read.schema(T.StructType([*schema.fields, T.StructField("day", T.DateType())]) if family in POSITIONAL else schema).parquet(path)
             except Exception as e:  # a family that was never written is empty
                 if "PATH_NOT_FOUND" not in str(e):
                     raise
