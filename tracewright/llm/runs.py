@@ -75,9 +75,10 @@ def link_cost(a: tuple[str, int], b: tuple[str, int]) -> float:
 
 def segment(links: list[float], penalty: float = PENALTY) -> list[int]:
     """Starts of the runs of the cheapest segmentation of len(links) + 1 events; links[k] joins k and k + 1."""
+    never = penalty * (len(links) + 2)  # dearer than cutting everywhere
     total = [0.0]
     for c in links:
-        total.append(total[-1] + c)
+        total.append(total[-1] + min(c, never))
     best, back, open_starts = [0.0], [], []
     for i in range(len(links) + 1):
         open_starts.append(i)
