@@ -50,3 +50,13 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         waiting = [batch.slice(cut)]
     if waiting:
         yield pa.Table.from_batches(waiting)
+
+
+SMALL_INPUT = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input of one or two splits, over all cores, ahead of a stage in Python; larger ones have splits enough."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import once
 from tracewright.functions import codes
 from tracewright.plans.spec import TAGS, LookupSpec, SpecError
 from tracewright.schema import GAINS, LOSSES, QUIET_ITEMS
@@ -33,8 +32,9 @@ def user_ids(store: LogStore, names: tuple[str, ...]) -> dict[str, int]:
 
 
 def user_uuids(store: LogStore, names: tuple[str, ...]) -> list[str]:
+    """All uuids of the names asked for; a name belongs to few of them."""
     u = store["user"].where(F.lower("name").isin(*{n.lower() for n in names}) & F.col("uuid").isNotNull())
-    return [r.uuid for r in u.select("uuid").distinct().limit(10_000).collect()] if names else []
+    return [r.uuid for r in u.select("uuid").distinct().collect()] if names else []
 
 
 def type_ids(store: LogStore, words: tuple[str, ...]) -> list[int]:
@@ -172,8 +172,8 @@ def rows(store: LogStore, spec: LookupSpec) -> DataFrame:
     """All rows of a lookup, each entry once, in no order."""
     p = Planner(store, spec)
     if not spec.union:
-        return once(p.rows(family_of(spec)))
-    return reduce(DataFrame.unionByName, [once(unified(f, p.rows(f), spec.inventory)) for f in branches(spec)])
+        return store.once(p.rows(family_of(spec)), family_of(spec))
+    return reduce(DataFrame.unionByName, [store.once(unified(f, p.rows(f), spec.inventory), f) for f in branches(spec)])
 
 
 def ordered(df: DataFrame, oldest_first: bool = False) -> DataFrame:

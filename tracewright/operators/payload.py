@@ -31,13 +31,21 @@ def new_payloads(incoming: DataFrame, stored: DataFrame, raw: str = "raw") -> Da
     return i.join(s, same, "left_anti").dropDuplicates(["hash", "size"])
 
 
-def numbered(df: DataFrame, after: int = 0, order: str = "first_ref") -> DataFrame:
-    """Ids after the largest used one, by first reference. The new rows of a batch are few; ids are dense within range partitions' offsets."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("part", F.spark_partition_id())
-    local = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = local.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("offset"))
-    return local.join(offsets, "part").withColumn("id", (F.col("offset") + F.col("k") + after).cast("long")).drop("part", "k", "offset")
+def numbered(df: DataFrame, after: int = 0, order: str = "first_ref", coarse: Column | None = None) -> DataFrame:
+    """Dense ids after the largest used one, in the order of a column whose values are unique.
+
+    Rows are numbered within coarse ranges of the column and offset by the sizes of the ranges before, so only one row
+    a range meets in a task. ``coarse`` must rise with the column; by default it is a 65 536th of a number, or the first
+    three characters of a string. It depends on values only, so that a task which is run again gives the same ids.
+    """
+    if coarse is None:
+        coarse = F.substring(order, 1, 3) if df.schema[order].dataType.typeName() == "string" else F.floor(F.col(order) / 65_536)
+    ranged = df.withColumn("_range", coarse)
+    local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
+    return local.join(offsets, "_range").withColumn("id", (F.col("_offset") + F.col("_k") + after).cast("long")).drop("_range", "_k", "_offset")
 
 
 def policy(size: Column, compressed: Column, enabled: bool = True, least: int = LEAST_BYTES) -> Column:

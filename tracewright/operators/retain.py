@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import once
 from tracewright.plans.spec import PurgeSpec
 from tracewright.sources.store import LogStore, append
 
@@ -56,8 +57,8 @@ def purge(store: LogStore, spec: PurgeSpec, folder: str) -> None:
 
 
 def compact(df: DataFrame, folder: str, family: str) -> None:
-    """Rewrites a family in the store's layout, which merges small files."""
-    append(df, folder, family)
+    """Rewrites a family in the store's layout, each entry once, which merges small files and spares lookups the check for copies."""
+    append(once(df), folder, family)
 
 
 def orphans(payloads: DataFrame, references: list[tuple[DataFrame, str]], key: str = "id") -> DataFrame:

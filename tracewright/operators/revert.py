@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import once
 from tracewright.functions import codes
 from tracewright.operators import lookup
 from tracewright.operators.asof import PLACE
@@ -57,7 +56,7 @@ class RevertPlan:
 
 def selection(store: LogStore, plan: RevertPlan, family: str = "block") -> DataFrame:
     """The selected rows of a family: clicks never, kills only if entities are reverted; an inventory keeps all."""
-    df = once(lookup.Planner(store, plan.spec).rows(family))
+    df = store.once(lookup.Planner(store, plan.spec).rows(family), family)
     if family == "block" and not plan.spec.inventory:
         df = df.where(~F.col("action").isin(*((2,) if plan.entities else (2, 3))))
     return df

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import once
 from tracewright.functions import codes
 from tracewright.operators import lookup
 from tracewright.plans.spec import LookupSpec, parse_time
@@ -71,7 +70,7 @@ def _who(store: LogStore, df: DataFrame) -> DataFrame:
 
 def _fetch(store: LogStore, family: str, o: Options, more: Column | None = None) -> DataFrame:
     keep = _filter(store, o)
-    return _who(store, _cut(once(store[family].where(keep if more is None else keep & more)), o))
+    return _who(store, _cut(store.once(store[family].where(keep if more is None else keep & more), family), o))
 
 
 def block_lookup(store: LogStore, o: Options) -> DataFrame:
@@ -89,7 +88,7 @@ def item_lookup(store: LogStore, o: Options) -> DataFrame:
 def inventory_lookup(store: LogStore, o: Options) -> DataFrame:
     """Placed blocks, container and item rows of a player together; all item actions count."""
     keep = _filter(store, o)
-    parts = [once(lookup.unified(f, store[f].where(keep & (F.col("action") == 1) if f == "block" else keep), True)) for f in ("block", "container", "item")]
+    parts = [store.once(lookup.unified(f, store[f].where(keep & (F.col("action") == 1) if f == "block" else keep), True), f) for f in ("block", "container", "item")]
     df = _who(store, _cut(reduce(DataFrame.unionByName, parts), o))
     return df.select("tbl", "id", "time", "user_name", "wid", "x", "y", "z", codes.source(F.col("tbl")).alias("source"), codes.polarity(F.col("tbl"), F.col("action")).alias("gained"), "type", "amount", codes.rolled_back(F.col("rolled_back"), True).alias("rolled_back"))
 
@@ -131,7 +130,7 @@ def username_lookup(store: LogStore, o: Options) -> DataFrame:
     df = store["username"] if o.seconds <= 0 else store["username"].where(F.col("time") > o.now - o.seconds)
     if o.user is not None:
         df = df.withColumn("uuid", F.lower("uuid")).join(alias_uuids(store, o.user), "uuid", "left_semi")
-    return _cut(once(df), o).select("id", "time", "uuid", "name")
+    return _cut(store.once(df, "username"), o).select("id", "time", "uuid", "name")
 
 
 def has_done(store: LogStore, user: str, place: tuple[int, int, int, int], action: int, now: int, seconds: int, offset: int = 0) -> DataFrame:
@@ -191,11 +190,11 @@ def seconds_of(text: str) -> int:
 
 def point_history(store: LogStore, family: str, place: tuple[int, int, int, int], since: int, page: int = 1, rows: int = 7, actions: tuple[int, ...] = ()) -> DataFrame:
     """What happened at one place, newest first, a page at a time; inspectors take the old end inclusively (time >=)."""
-    return _who(store, once(_at(store, family, place, since, actions)).orderBy(F.col("id").desc()).offset((page - 1) * rows).limit(rows))
+    return _who(store, store.once(_at(store, family, place, since, actions), family).orderBy(F.col("id").desc()).offset((page - 1) * rows).limit(rows))
 
 
 def point_count(store: LogStore, family: str, place: tuple[int, int, int, int], since: int, rows: int = 7, actions: tuple[int, ...] = ()) -> DataFrame:
-    n = once(_at(store, family, place, since, actions).select("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = store.once(_at(store, family, place, since, actions).select("id"), family).agg(F.count(F.lit(1)).alias("n"))
     return n.select("n", F.ceil(F.col("n") / F.lit(rows)).cast("long").alias("pages"))
 
 

@@ -411,4 +411,4 @@ def lookup_lines(spark, d):
 @query(f"""{_V} SELECT t.id, CASE WHEN t.blockdata IS NOT NULL THEN coalesce((SELECT string_agg(m.name, ',' ORDER BY p.k) FROM (SELECT unnest(string_split(t.blockdata, ',')) AS part, unnest(range(len(string_split(t.blockdata, ',')))) AS k) p JOIN material_ m ON m.id = CAST(p.part AS INT)), '') END AS names FROM block_ t""")
 def decode_blockdata(spark, d):
     store = LogStore.given(spark, d)
-    return codes.decode_blockdata(lookup.once(store["block"].select("id", "blockdata")), store["material"]).select("id", "names")
+    return codes.decode_blockdata(store.once(store["block"].select("id", "blockdata"), "block"), store["material"]).select("id", "names")

@@ -10,22 +10,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.frames import once
 from tracewright.schema import POSITIONAL, SCHEMAS
 from tracewright.sources import fixtures
 
 
 @dataclass
 class LogStore:
-    """Tables by family name. Every table has the columns of tracewright.schema and may hold re-delivered rows."""
+    """Tables by family name. Every table has the columns of tracewright.schema and may hold re-delivered rows,
+    but for the families in ``unique``, whose ids are known to be unique (compacted stores)."""
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    unique: frozenset[str] = frozenset()
 
     def __getitem__(self, family: str) -> DataFrame:
         if family not in self.tables:
             self.tables[family] = self.spark.createDataFrame([], SCHEMAS[family])
         return self.tables[family]
 
+    def once(self, df: DataFrame, family: str) -> DataFrame:
+        """Each entry of a family's rows once; costs a shuffle of these rows only where copies are possible."""
+        return df if family in self.unique else once(df)
+
     @classmethod
     def given(cls, spark: SparkSession, sf_dir: str) -> LogStore:
         """The given tables, and derived ones for the families without."""
@@ -34,6 +41,7 @@ class LogStore:
             store.tables[family] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         for family in ("item", "session", "sign"):
             store.tables[family] = fixtures.view(spark, sf_dir, family)
+        store.unique = frozenset({"item", "session", "sign"})
         return store
 
     @classmethod
@@ -42,16 +50,17 @@ class LogStore:
         store = cls.given(spark, sf_dir)
         store.tables["block"] = fixtures.view(spark, sf_dir, "site_block")
         store.tables["container"] = fixtures.view(spark, sf_dir, "site_container")
+        store.unique |= {"block", "container"}
         return store
 
     @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> LogStore:
-        """A store written by append(): families are folders, read with one schema each.
+    def open(cls, spark: SparkSession, folder: str, compacted: bool = False) -> LogStore:
+        """A store written by append(): families are folders, read with one schema each. ``compacted``: by compact() only.
 
         Positional families are partitioned by world and day, so that both the world and the time window of a lookup
         prune files (time is also kept, as Spark can't derive the day from it; see day_predicate).
         """
-        store = cls(spark)
+        store = cls(spark, unique=frozenset(SCHEMAS) if compacted else frozenset())
         for family, schema in SCHEMAS.items():
             path = os.path.join(folder, family)
             try:
