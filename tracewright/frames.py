@@ -57,6 +57,6 @@ SMALL_INPUT = 8 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """An input of one or two splits, over all cores, ahead of a stage in Python; larger ones have splits enough."""
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() >= SMALL_INPUT:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SMALL_INPUT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
