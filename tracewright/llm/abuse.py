@@ -24,6 +24,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import spread
 from tracewright.llm.abuse_table import LABELLED, LEXICONS, SECOND
 
 MAX_LABELLED = 20_000  # labelled rows the trees are fitted on at most, the lowest ids first
@@ -384,7 +385,7 @@ def _scorer(model: Trees):
 def scored(log: DataFrame, model: Trees, id_col: str = "id", source: str = "wid", message: str = "message") -> DataFrame:
     """chat_id, source and score of every delivered row; a score is a calibrated probability."""
     rows = log.select(F.col(id_col).cast("long").alias("chat_id"), F.col(source).cast("int").alias("source"), F.col(message).alias("message"))
-    return rows.mapInArrow(_scorer(model), "chat_id bigint, source int, score double")
+    return spread(rows).mapInArrow(_scorer(model), "chat_id bigint, source int, score double")
 
 
 def flagged(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import spread
+
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public splitting pattern of the vocabulary.
@@ -188,4 +190,4 @@ def _encoder(folder: str, name: str):
 def encode(documents: DataFrame, id_col: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = BYTE_BPE) -> DataFrame:
     """{id} and ids, the token ids of each text without special tokens."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_encoder(folder, name), "doc_id bigint, ids array<int>").withColumnRenamed("doc_id", id_col)
+    return spread(rows).mapInArrow(_encoder(folder, name), "doc_id bigint, ids array<int>").withColumnRenamed("doc_id", id_col)

@@ -30,6 +30,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import spread
+
 WORDS, EDITS = 18, 3
 WINDOW, OVERLAP = 160, 32
 BLOCK, ITEMS = 8, 20_000
@@ -219,6 +221,7 @@ def item_blocks(items: DataFrame, id_col: str, passage: str) -> Iterator[list[tu
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "eval_id", passage: str = "passage") -> DataFrame:
     """{id}, {item}: each document with each item of which it holds WORDS or more words in a row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = spread(rows)
     parts = [rows.mapInArrow(_finder(Index(block)), "doc_id bigint, eval_id int") for block in item_blocks(items, item_col, passage)]
     if not parts:
         parts = [rows.select("doc_id", F.lit(None).cast("int").alias("eval_id")).where(F.lit(False))]

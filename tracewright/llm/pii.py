@@ -24,6 +24,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import spread
 from tracewright.llm import pii_table
 
 LABELS = ("", *pii_table.KINDS)
@@ -419,7 +420,7 @@ def _decoded(logs: dict[str, DataFrame], id_col: str, message: str, seed: int) -
     for name, df in logs.items():
         part = df.select(F.lit(name).alias("log_name"), F.col(id_col).cast("long").alias("entry_id"), F.col(message).alias("message"))
         union = part if union is None else union.unionByName(part)
-    return union.mapInArrow(_worker(train(seed)), "log_name string, entry_id bigint, clean string, kinds array<string>")
+    return spread(union).mapInArrow(_worker(train(seed)), "log_name string, entry_id bigint, clean string, kinds array<string>")
 
 
 def redact(logs: dict[str, DataFrame], id_col: str = "id", message: str = "message", seed: int = 7) -> DataFrame:

@@ -23,6 +23,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.frames import spread
+
 MIN_WORDS, MIN_CHARS = 3, 6
 BATCH_CHARS = 2_000_000
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\r]]+", regex.V1)
@@ -125,7 +127,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """{id}, share, repeated, total (letters and digits), longest (words of the longest repeat) of each document."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_measured, "doc_id bigint, share double, repeated bigint, total bigint, longest bigint")
+    out = spread(rows).mapInArrow(_measured, "doc_id bigint, share double, repeated bigint, total bigint, longest bigint")
     return out.withColumnRenamed("doc_id", id_col)
 
 
