@@ -37,12 +37,23 @@ _DIGITS = regex.compile(r"\p{N}+|zero|one|two|three|four|five|six|seven|eight|ni
 _TALK = frozenset("msg tell w r me mail m reply whisper ticket say helpop pm t".split())
 _WORDS_OF_NUMBERS = frozenset("zero one two three four five six seven eight nine".split())
 _GIVEN = frozenset(pii_table.GIVEN)
+_LETTERS, _NUMBER = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
+_MAIL_CHUNK = regex.compile(r"[^\s@]+@[^\s@]+\.[^\s@.]+")
+_COMMAND_CHUNK = regex.compile(r"/[a-z]+")
+_NOT_SEPARATOR = regex.compile(r"[\p{N}\p{L}]")
+_AT = regex.compile(r"[\p{L}\p{N}]\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?[\p{L}\p{N}]")
+_DOT = regex.compile(r"\.|\bdot\b")
+_HOUSE = regex.compile(r"(?<![\p{L}\p{N}])\p{N}+\p{L}?(?![\p{L}\p{N}])")
+_TWO_LETTERS = regex.compile(r"\p{L}{2,}")
+_NO_NAME = regex.compile(r"[\p{N}_/@]")
+_CACHE = 100_000
 _LANDFORMS = frozenset(pii_table.LANDFORMS)
 _STREETS = frozenset("street st road rd lane ln avenue ave drive dr court ct terrace row way close place crescent boulevard blvd square gardens hollow mews parade rue chemin calle via plaza platz avenida strada straat".split())
 _STREET_END = regex.compile(r"(?:straße|strasse|str|weg|gasse|allee|platz|ring|damm|moor|ufer|straat|gatan)$")
 _TITLES = frozenset("of the in on at to and for is it a an my by with from from".split())
 
 
+@lru_cache(maxsize=_CACHE)
 def shape(s: str) -> str:
     out = []
     for ch in s:
@@ -86,14 +97,14 @@ def near_features(t: str) -> list[str]:
 
 def chunk_features(c: str) -> list[str]:
     low = c.lower().strip(".,;:!?\"'")
-    out = ["c=" + regex.sub(r"\p{N}+", "d", regex.sub(r"\p{L}+", "a", low))[:16]]
-    if regex.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", low):
+    out = ["c=" + _NUMBER.sub("d", _LETTERS.sub("a", low))[:16]]
+    if _MAIL_CHUNK.fullmatch(low):
         out.append("mail")
     if "@" in low:
         out.append("@")
     if "_" in low and any(x.isdigit() for x in low):
         out.append("player")
-    if regex.fullmatch(r"/[a-z]+", low):
+    if _COMMAND_CHUNK.fullmatch(low):
         out.append("command")
     return out
 
@@ -105,7 +116,7 @@ def run_features(r: str) -> list[str]:
     lengths = [len(g) if g[0].isdigit() else 1 for g in groups]
     total = sum(lengths)
     bucket = 0 if total < 5 else 1 if total < 7 else 2 if total < 9 else 3 if total < 10 else 4 if total < 14 else 5 if total < 16 else 6
-    return [f"t={bucket}", f"g={'-'.join(map(str, lengths[:6]))}", f"k={len(groups)}", f"p={r[0] if r[0] in '-+(0' else '.'}", f"sep={''.join(sorted(set(regex.sub(r'[\p{N}\p{L}]', '', r))))[:4]}"]
+    return [f"t={bucket}", f"g={'-'.join(map(str, lengths[:6]))}", f"k={len(groups)}", f"p={r[0] if r[0] in '-+(0' else '.'}", f"sep={''.join(sorted(set(_NOT_SEPARATOR.sub('', r))))[:4]}"]
 
 
 def ahead_features(two: str) -> list[str]:
@@ -178,6 +189,23 @@ class Field:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.names, self.weights, self.trans, self.start = names, weights, trans, start
+        self._known: dict[str, dict[str, np.ndarray]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}}
+
+    def _table(self, role: str, parts: dict[str, int], features) -> np.ndarray:
+        """A row of scores for each part; parts seen in earlier batches are remembered."""
+        known = self._known.setdefault(role, {})
+        if len(known) > _CACHE:
+            known.clear()
+        out = np.empty((len(parts), len(LABELS)), np.float32)
+        for i, x in enumerate(parts):
+            v = known.get(x)
+            if v is None:
+                v = known[x] = self._sum(role, features(x))
+            out[i] = v
+        return out
 
     def _sum(self, role: str, feats: list[str]) -> np.ndarray:
         ids = [k for f in feats if (k := self.names.get(f"{role}:{f}")) is not None]
@@ -206,17 +234,16 @@ class Field:
             parts[chunk_part + 4] += [com.setdefault(s.command, len(com))] * n
             parts[chunk_part + 5] += [two.setdefault(x, len(two)) for x in s.ahead]
             ends.append(ends[-1] + n)
-        table = lambda role, of, fs: np.array([self._sum(role, fs(x)) for x in of], np.float32).reshape(len(of), len(LABELS))
         total = np.zeros((ends[-1], len(LABELS)), np.float32)
         if ends[-1]:
             own, near = token_features, near_features
             for k, (role, off) in enumerate(_ROLES):
-                total += table(role, tok, own if not off else (near if abs(off) == 1 else lambda x: near(x)[:1]))[parts[k]]
+                total += self._table(role, tok, own if not off else (near if abs(off) == 1 else lambda x: near(x)[:1]))[parts[k]]
             for k, role in enumerate(("c0", "c-1", "c+1")):
-                total += table(role, chk, chunk_features)[parts[chunk_part + k]]
-            total += table("r", run, run_features)[parts[chunk_part + 3]]
-            total += table("a", two, ahead_features)[parts[chunk_part + 5]]
-            total += table("q", com, command_features)[parts[chunk_part + 4]]
+                total += self._table(role, chk, chunk_features)[parts[chunk_part + k]]
+            total += self._table("r", run, run_features)[parts[chunk_part + 3]]
+            total += self._table("a", two, ahead_features)[parts[chunk_part + 5]]
+            total += self._table("q", com, command_features)[parts[chunk_part + 4]]
         return total, np.array(ends)
 
     def decode(self, sentences: list[Sentence]) -> list[np.ndarray]:
@@ -355,14 +382,14 @@ def plausible(kind: str, s: str) -> bool:
     """The exact check of a decoded span."""
     low = s.lower()
     if kind == "email":
-        return regex.search(r"[\p{L}\p{N}]\s?(?:@|[(\[{]\s?at\s?[)\]}]|\bat\b)\s?[\p{L}\p{N}]", low) is not None and regex.search(r"\.|\bdot\b", low) is not None
+        return _AT.search(low) is not None and _DOT.search(low) is not None
     if kind == "phone":
         return 7 <= _digits(s) <= 15
     if kind == "identity":
         return _digits(s) >= 5
     if kind == "address":
-        return regex.search(r"(?<![\p{L}\p{N}])\p{N}+\p{L}?(?![\p{L}\p{N}])", s) is not None and regex.search(r"\p{L}{2}", s) is not None
-    return len(regex.findall(r"\p{L}{2,}", s)) >= 2 and regex.search(r"[\p{N}_/@]", s) is None
+        return _HOUSE.search(s) is not None and _TWO_LETTERS.search(s) is not None
+    return len(_TWO_LETTERS.findall(s)) >= 2 and _NO_NAME.search(s) is None
 
 
 def entities(s: Sentence, path: np.ndarray) -> list[tuple[int, int, str]]:
