@@ -76,4 +76,5 @@ def test_recall_against_brute_force(spark, sf):
     index = leak.Index([(x.eval_id, x.passage) for x in items])
     for d in docs:
         w = leak.words(d.text)
-        assert index.leaked(d.text) == {index.ids[k] for k, p in enumerate(index.passages) if leak.dense(p, w) and leak.contains(p, w)}
+        near = {index.ids[k] for k, p in enumerate(index.passages) if sum(x in set(w) for x in p) >= 12 and leak.contains(p, w)}
+        assert index.leaked(d.text) == near

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from functools import reduce
+from operator import itemgetter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.frames import spread
 
 WORDS, EDITS = 18, 3
-WINDOW, OVERLAP = 160, 32
-BLOCK, ITEMS = 8, 20_000
+WINDOW, OVERLAP = 48, 24
+BLOCK, ITEMS = 4, 20_000
 K1, B = 1.2, 0.75
 _TAG = regex.compile(r"<[^<>]{1,300}>|\[/?[a-z]{1,10}\]|https?://\S+")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Mn}--[\t\n\r]]+", regex.V1)
@@ -50,6 +52,9 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", text).casefold()))
 
 
+_item = itemgetter(0)
+
+
 class Index:
     """Inverted index of passages; weights are scaled so that an item's threshold is 1."""
 
@@ -59,7 +64,7 @@ class Index:
         counts = [Counter(p) for p in self.passages]
         held = Counter(w for c in counts for w in c)
         mean = sum(map(len, self.passages)) / max(1, len(items))
-        self.postings: dict[str, tuple[list[int], list[float], float, list[float]]] = {}
+        self.postings: dict[str, tuple[list[int], list[float], float, int]] = {}  # items, weights, largest, row of tops
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, c in enumerate(counts):
             n = len(self.passages[k])
@@ -68,12 +73,12 @@ class Index:
             if least > 0:
                 for w in sorted(c):
                     lists[w].append((k, weight[w] / least))
-        blocks = -(-len(items) // BLOCK)
-        for w, found in lists.items():
-            top = [0.0] * blocks
+        #: largest weight of each word in each block
+        self.tops = np.zeros((len(lists), -(-len(items) // BLOCK)))
+        for row, (w, found) in enumerate(lists.items()):
             for k, x in found:
-                top[k // BLOCK] = max(top[k // BLOCK], x)
-            self.postings[w] = ([k for k, _ in found], [x for _, x in found], max(x for _, x in found), top)
+                self.tops[row, k // BLOCK] = max(self.tops[row, k // BLOCK], x)
+            self.postings[w] = ([k for k, _ in found], [x for _, x in found], max(x for _, x in found), row)
 
     @staticmethod
     def _least(passage: list[str], weight: dict[str, float]) -> float:
@@ -85,45 +90,57 @@ class Index:
         return min(scores, default=0.0) * (1 - 1e-9)
 
     def search(self, query: set[str]) -> list[int]:
-        """Positions of all items whose score reaches 1, by block-max WAND."""
-        lists = [p for w in query if (p := self.postings.get(w))]
-        if sum(p[2] for p in lists) < 1:
+        """Positions of all items whose score reaches 1, by block-max WAND.
+
+        The block maxima of the query's words, added up, tell which blocks can hold such an item at all.
+        """
+        rows = [p for w in query if (p := self.postings.get(w))]
+        if sum(p[2] for p in rows) < 1:
             return []
-        end = len(self.ids)
-        cursors = [[p[0][0], 0, p] for p in lists]
+        bounds = self.tops[[p[3] for p in rows]].sum(axis=0)
+        out: list[int] = []
+        for block in np.flatnonzero(bounds >= 1 - 1e-6).tolist():
+            out += self._wand(rows, block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
+        return out
+
+    @staticmethod
+    def _wand(rows: list[tuple], start: int, end: int) -> list[int]:
+        """Items from start to end whose score reaches 1: the lists in front of the pivot, which can't reach it alone, skip to it."""
+        cursors = []
+        for items, weights, top, _ in rows:
+            at = bisect_left(items, start)
+            if at < len(items) and items[at] < end:
+                cursors.append([items[at], at, items, weights, top])
         found = []
-        while True:
-            cursors.sort(key=lambda c: c[0])
+        while cursors:
+            cursors.sort(key=_item)
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                if c[0] >= end:
-                    break
-                bound += c[2][2]
+                bound += c[4]
                 if bound >= 1:
                     pivot = k
                     break
             if pivot < 0:
-                return found
+                break
             item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            block = item // BLOCK
-            if sum(c[2][3][block] for c in cursors[: pivot + 1]) >= 1:
-                if cursors[0][0] == item:
-                    if sum(c[2][1][c[1]] for c in cursors[: pivot + 1]) >= 1:
-                        found.append(item)
-                    goal = item + 1
-                else:
-                    goal = item
-            else:  # no item of this block can reach 1 before another list begins
-                goal = (block + 1) * BLOCK
-                if pivot + 1 < len(cursors):
-                    goal = min(goal, cursors[pivot + 1][0])
+            if cursors[0][0] == item:
+                while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+                    pivot += 1
+                if sum(c[3][c[1]] for c in cursors[: pivot + 1]) >= 1:
+                    found.append(item)
+                goal = item + 1
+            else:
+                goal = item
+            done = False
             for c in cursors[: pivot + 1]:
-                at, (items, _, _, _) = c[1], c[2]
+                at, items = c[1], c[2]
                 while at < len(items) and items[at] < goal:
                     at += 1
                 c[0], c[1] = (items[at] if at < len(items) else end), at
+                done |= c[0] >= end
+            if done:
+                cursors = [c for c in cursors if c[0] < end]
+        return found
 
     def leaked(self, text: str | None) -> set[int]:
         """Ids of the items that a text contains."""
@@ -132,17 +149,37 @@ class Index:
         step = WINDOW - OVERLAP
         for s in range(0, max(1, len(w) - OVERLAP), step):
             window = w[s : s + WINDOW]
+            grams: set[tuple[str, str, str]] | None = None
             for k in self.search(set(window)):
-                if self.ids[k] not in out and dense(self.passages[k], window) and contains(self.passages[k], window):
+                if grams is None:
+                    near = w[max(0, s - OVERLAP) : s + WINDOW + OVERLAP]
+                    grams, have = set(zip(near, near[1:], near[2:])), set(near)
+                if self.ids[k] not in out and dense(self.passages[k], grams, have) and contains(self.passages[k], near):
                     out.add(self.ids[k])
         return out
 
 
-def dense(passage: list[str], text: list[str]) -> bool:
-    """Whether WORDS words in a row of the passage have all but EDITS of them anywhere in the text; a leak must."""
-    have = set(text)
-    sums = np.cumsum([0, *(w in have for w in passage)])
-    return bool((sums[WORDS:] - sums[:-WORDS] >= WORDS - EDITS).any())
+def dense(passage: list[str], grams: set[tuple[str, str, str]], have: set[str]) -> bool:
+    """Whether some WORDS words in a row of the passage are all but EDITS in the text, and enough of them there in threes.
+
+    A leak must: EDITS changed words leave EDITS + 1 pieces of WORDS - EDITS words, and at worst all but one of the pieces
+    are of two words.
+    """
+    hits = [i for i, g in enumerate(zip(passage, passage[1:], passage[2:])) if g in grams]
+    if len(hits) < WORDS - 3 * EDITS - 2:
+        return False
+    threes = [0] * len(passage)
+    for i in hits:
+        threes[i] = threes[i + 1] = threes[i + 2] = 1
+    there = [w in have for w in passage]
+    n_there, n_threes = sum(there[:WORDS]), sum(threes[:WORDS])
+    for end in range(WORDS, len(passage) + 1):
+        if n_there >= WORDS - EDITS and n_threes >= WORDS - 3 * EDITS:
+            return True
+        if end < len(passage):
+            n_there += there[end] - there[end - WORDS]
+            n_threes += threes[end] - threes[end - WORDS]
+    return False
 
 
 def contains(passage: list[str], text: list[str]) -> bool:
