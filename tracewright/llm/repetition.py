@@ -28,9 +28,11 @@ from tracewright.frames import spread
 MIN_WORDS, MIN_CHARS = 3, 6
 BATCH_CHARS = 2_000_000
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\r]]+", regex.V1)
-_WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}ー])[\p{L}\p{M}\p{N}])+(?:['’](?:(?![\p{Han}\p{Hiragana}\p{Katakana}ー])[\p{L}\p{M}\p{N}])+)*")
+_QUOTE = regex.compile(r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])")
 _DENSE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 _ALNUM = regex.compile(r"[\p{L}\p{N}]")
+_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_WORD_OR_CHAR = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]|[[\p{L}\p{M}\p{N}]--[\p{Han}\p{Hiragana}\p{Katakana}ー]]+", regex.V1)
 
 
 def units(text: str | None) -> tuple[list[str], int]:
@@ -38,10 +40,13 @@ def units(text: str | None) -> tuple[list[str], int]:
     if not text:
         return [], MIN_WORDS
     text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).casefold())
-    dense = len(_DENSE.findall(text))
-    if dense and 2 * dense > len(_ALNUM.findall(text)):
+    if "'" in text or "’" in text:
+        text = _QUOTE.sub("", text)
+    if not _DENSE.search(text):
+        return _WORD.findall(text), MIN_WORDS
+    if 2 * len(_DENSE.findall(text)) > len(_ALNUM.findall(text)):
         return _ALNUM.findall(text), MIN_CHARS
-    return [w.replace("'", "").replace("’", "") for w in _WORD.findall(text)], MIN_WORDS
+    return _WORD_OR_CHAR.findall(text), MIN_WORDS
 
 
 def suffix_array(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,17 +81,18 @@ def suffix_array(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def measure(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: repeated letters and digits, all letters and digits, words of the longest repeat."""
-    docs, need, ids, size = [], [], [], []
+    docs, need, ids = [], [], []
     known: dict[str, int] = {}
-    for k, text in enumerate(texts):
+    for text in texts:
         words, least = units(text)
-        docs += [k] * (len(words) + 1)
+        docs.append(len(words) + 1)
         need.append(least)
         ids += [known.setdefault(w, len(known)) for w in words]
         ids.append(-1)
-        size += [len(_ALNUM.findall(w)) if not w.isalnum() else len(w) for w in words]
-        size.append(0)
-    doc, word, chars = np.array(docs, np.int64), np.array(ids, np.int64), np.array(size, np.int64)
+    size = [len(w) if w.isalnum() else len(_ALNUM.findall(w)) for w in known]
+    size.append(0)  # for the ends, whose word is -1
+    doc, word = np.repeat(np.arange(len(texts)), docs), np.array(ids, np.int64)
+    chars = np.array(size, np.int64)[word]
     total = np.bincount(doc, chars, minlength=len(texts)).astype(np.int64)
     if not known:
         return np.zeros(len(texts), np.int64), total, np.zeros(len(texts), np.int64)
