@@ -44,6 +44,7 @@ _MIXED = regex.compile(r"(?=.*\p{Latin})(?=.*[\p{Cyrillic}\p{Greek}\p{Armenian}]
 _STRETCH = regex.compile(r"(.)\1{2,}")
 _NAME = regex.compile(r"(?i)^(?:\p{L}+_\p{L}+_?\d*|x\p{L}{4,}x\d+|\p{L}{4,}\d{2,})$")
 _CAMEL = regex.compile(r"^(?:\p{Lu}\p{Ll}+){2,}\d*$")
+_LETTER, _CAPITAL, _MARK = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}"), regex.compile(r"[^\p{L}\p{N}\s]")
 NAME = "@name"
 
 
@@ -233,7 +234,7 @@ class Extractor:
             count[k] += 1
             if persons:
                 near[k] = min(near[k], min(abs(i - j) for j in persons))
-        letters = sum(c.isalpha() for c in message)
+        letters, marks = len(_LETTER.findall(message)), len(_MARK.findall(message))
         harm_you, sex = sum(count[k] for k in _HARM_YOU), sum(count[k] for k in _SEX)
         return [
             *(min(c, 3) for c in count),
@@ -241,8 +242,8 @@ class Extractor:
             *(1 / (1 + d) if d < 9 else 0.0 for d in near),
             min(sum(t in _SECOND for t in words), 3),
             min(words.count(NAME), 2),
-            sum(c.isupper() for c in message) / max(1, letters),
-            sum(not c.isalnum() and not c.isspace() for c in message) / max(1, len(message)),
+            len(_CAPITAL.findall(message)) / max(1, letters),
+            marks / max(1, len(message)),
             disguised / n,
             min(n, 40),
             float(sum(count[k] for k in _HARM_GROUP) * (1 + 2 * min(1, sum(count[k] for k in _GROUPS)))),
@@ -368,15 +369,15 @@ def training_rows(sample: DataFrame | None, message: str = "message", label: str
 
 def _scorer(model: Trees):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor()
+        extract, known = Extractor(), {}
         for batch in batches:
             messages = batch.column(batch.num_columns - 1).to_pylist()
-            at: dict[str, int] = {}
-            for m in messages:
-                if m is not None:
-                    at.setdefault(m, len(at))
-            scores = model.score(extract.many(list(at))) if at else np.zeros(0)
-            column = pa.array([float(scores[at[m]]) if m is not None else None for m in messages], pa.float64())
+            if len(known) > 100_000:
+                known.clear()
+            new = [m for m in dict.fromkeys(messages) if m is not None and m not in known]
+            if new:
+                known.update(zip(new, model.score(extract.many(new)).tolist()))
+            column = pa.array([None if m is None else known[m] for m in messages], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "score"])
 
     return run
