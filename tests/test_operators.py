@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright.frames import before
 from tracewright.functions import codes
-from tracewright.operators import asof, lookup, migrate, names, payload, retain, revert, suppress, typed
+from tracewright.operators import asof, commands, lookup, migrate, names, payload, retain, revert, suppress, typed
 from tracewright.plans.spec import LookupSpec, PurgeSpec, SpecError
 from tracewright.schema import SCHEMAS
 from tracewright.sources import store as st
@@ -116,12 +117,24 @@ def test_repeats_equal_the_state_machine(spark):
     r = random.Random(7)
     rows = [(k, r.randrange(0, 9000), r.choice([1, 2])) for k in range(500)]
     for threshold, window in ((2, 30), (7, 90)):
-        got = {x.id for x in suppress.suppress_repeats(spark.createDataFrame(rows, "id long, time long, k int"), ["k"], threshold, window).collect()}
+        df = spark.createDataFrame(rows, "id long, time long, k int")
+        got, again = ({x.id for x in suppress.suppress_repeats(df, ["k"], threshold, window, bucket_seconds=b).collect()} for b in (50, 10**6))
         m, want, state = Repeats(threshold, window), set(), {}
         for i, t, k in sorted(rows, key=lambda x: (x[1], x[0])):
             state[k], ok = m.step(state.get(k), t)
             want |= {i} if ok else set()
-        assert got == want
+        assert got == again == want
+
+
+def test_rows_before(spark):
+    r = random.Random(9)
+    rows = [(k, r.choice([None, *range(0, 300)]), r.choice([1, 1, 2, None])) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, time long, k int")
+    want, last = {}, {}
+    for i, t, k in sorted(rows, key=lambda x: (-1 if x[1] is None else x[1], x[0])):
+        want[i], last[k] = last.get(k), i
+    for size in (7, 10**6):
+        assert {x.id: x._before and x._before.id for x in before(df, ["k"], ["id"], seconds=size).collect()} == want
 
 
 def test_changes_equal_the_state_machine(spark):
@@ -217,6 +230,20 @@ def test_store_round_trip_and_stream(spark, sf, tmp_path):
     assert st.LogStore.open(spark, out)["chat"].count() == chat.where("not startswith(message, '/')").count()
 
 
+def test_versions_are_noted(spark, tmp_path):
+    assert st.version(spark, str(tmp_path)) == (0, 0, 0)
+    st.set_version(spark, str(tmp_path), (2, 24, 0))
+    assert st.version(spark, str(tmp_path)) == (2, 24, 0)
+
+
+def test_compacted_stores_need_no_check(spark, sf, tmp_path):
+    chat = spark.read.parquet(f"{sf}/log_chat.parquet")
+    retain.compact(chat, str(tmp_path), "chat")
+    s = st.LogStore.open(spark, str(tmp_path), compacted=True)
+    rows = lookup.rows(s, LookupSpec((6,)))
+    assert "Exchange" not in formatted(rows) and rows.count() == chat.select("id").distinct().count()
+
+
 def test_purge_writes_the_complement(spark, sf, tmp_path):
     s = st.LogStore(spark, {"chat": spark.read.parquet(f"{sf}/log_chat.parquet")})
     spec = PurgeSpec(0, NOW - 7 * 86_400)
@@ -224,5 +251,11 @@ def test_purge_writes_the_complement(spark, sf, tmp_path):
     assert st.LogStore.open(spark, str(tmp_path))["chat"].count() == s["chat"].where(~retain.condition(spec)).count()
 
 
+def test_automatic_purge():
+    assert commands.auto_purge("off", NOW) is None and commands.auto_purge("", NOW) is None
+    assert commands.auto_purge("6mo", NOW).end == NOW - 15_552_000
+    assert commands.auto_purge("10d", NOW).end == NOW - 30 * 86_400
+
+
 def test_every_listener_names_a_family():
     assert {f for f, _, _ in EVENTS.values()} <= set(SCHEMAS) and len(EVENTS) >= 50

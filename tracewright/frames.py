@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,6 +53,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         yield pa.Table.from_batches(waiting)
 
 
+def before(df: DataFrame, keys: list[str], columns: list[str], out: str = "_before", time: str = "time", id_col: str = "id", seconds: int = 86_400) -> DataFrame:
+    """With ``out``, a struct of the columns of the row before in (time, id) order of the key; null for a key's first row.
+
+    Rows are ordered in (key, time bucket) groups; only the last row of each bucket meets per key.
+    """
+    row = F.struct(*columns)
+    w = Window.partitionBy(*keys, "_bucket").orderBy(time, id_col)
+    x = df.withColumn("_bucket", bucket(F.col(time), seconds)).withColumn("_inside", F.lag(row).over(w))
+    last = x.groupBy(*keys, "_bucket").agg(F.max_by(row, F.struct(time, id_col)).alias("_last"))
+    carried = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
+    on = reduce(lambda a, c: a & c, [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_bucket"]])
+    return x.alias("x").join(carried.alias("c"), on, "left").select("x.*", F.coalesce("x._inside", "c._carried").alias(out)).drop("_bucket", "_inside")
+
+
 SMALL_INPUT = 8 << 20
 
 

@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.operators.asof import PLACE
+from tracewright.frames import before, bucket
+from tracewright.operators.asof import DAY, PLACE
 
 # Fixed values: (threshold, window seconds, state life seconds) of the suppressed sources.
 REPEATS = {"dropper": (512, 1200, 1200), "dispenser": (256, 1200, 1200), "flow": (512, 900, 900), "bonemeal": (256, 900, 900), "dispenser_liquid": (256, 1200, 900), "entity_kill": (256, 900, 900)}
@@ -20,11 +21,26 @@ FRESH = {"water": 60, "lava": 240, "vine": 240}
 ITEM_ORDER = (3, 2, 6, 7, 8, 9, 10, 11, 12)
 
 
-def suppress_repeats(df: DataFrame, keys: list[str], threshold: int, window: int, time: str = "time", id_col: str = "id") -> DataFrame:
-    """Keeps the first ``threshold`` rows of each stretch of a key whose gaps are at most ``window`` seconds."""
-    w = Window.partitionBy(*keys).orderBy(time, id_col)
-    s = df.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) <= window, 0).otherwise(1)).withColumn("_s", F.sum("_new").over(w))
-    return s.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(time, id_col))).where(F.col("_n") <= threshold).drop("_new", "_s", "_n")
+def suppress_repeats(df: DataFrame, keys: list[str], threshold: int, window: int, time: str = "time", id_col: str = "id", bucket_seconds: int = DAY) -> DataFrame:
+    """Keeps the first ``threshold`` rows of each stretch of a key whose gaps are at most ``window`` seconds.
+
+    Stretches are counted in (key, time bucket) groups. How many rows the stretch at a bucket's start has before it
+    comes from one summary row a bucket: a bucket that is all one stretch and goes on hands its count further.
+    """
+    group = [*keys, "_b"]
+    w = Window.partitionBy(*group).orderBy(time, id_col)
+    rows = df.withColumn("_b", bucket(F.col(time), bucket_seconds))
+    s = rows.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) > window, 1).otherwise(0)).withColumn("_s", F.sum("_new").over(w))
+    s = s.withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_s").orderBy(time, id_col)))
+    sums = s.groupBy(*group).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.max("_s").alias("s"), F.max_by("_n", F.struct(time, id_col)).alias("tail"))
+    per = Window.partitionBy(*keys).orderBy("_b")
+    sums = sums.withColumn("on", F.coalesce(F.col("first") - F.lag("last").over(per) <= window, F.lit(False)))
+    sums = sums.withColumn("chain", F.sum(F.when((F.col("s") == 0) & F.col("on"), 0).otherwise(1)).over(per))
+    sums = sums.withColumn("so_far", F.sum("tail").over(Window.partitionBy(*keys, "chain").orderBy("_b")))
+    carried = sums.select(*group, F.when(F.col("on"), F.lag("so_far").over(per)).otherwise(0).alias("_carried"))
+    same = reduce(lambda a, c: a & c, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in group])
+    n = F.col("_n") + F.when(F.col("_s") == 0, F.coalesce("_carried", F.lit(0))).otherwise(0)
+    return s.alias("r").join(carried.alias("c"), same, "left").where(n <= threshold).select(*[F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
 def symmetric(a: str, b: str, out: str = "pair") -> Column:
@@ -37,16 +53,15 @@ def changes_only(df: DataFrame, value: str = "type", ttl: int = SPREAD_TTL, rese
     rows = df.withColumn("_r", F.lit(False))
     if resets is not None:
         rows = rows.unionByName(resets.select(*[F.col(c) for c in df.columns]).withColumn("_r", F.lit(True)))
-    w = Window.partitionBy(*PLACE).orderBy(time, id_col)
-    same = (F.lag(value).over(w) == F.col(value)) & (F.col(time) - F.lag(time).over(w) <= ttl) & ~F.lag("_r").over(w)
-    return rows.withColumn("_same", F.coalesce(same, F.lit(False))).where(~F.col("_same") & ~F.col("_r")).drop("_same", "_r")
+    rows = before(rows, PLACE, [value, time, "_r"], "_p", time, id_col)
+    same = (F.col(f"_p.{value}") == F.col(value)) & (F.col(time) - F.col(f"_p.{time}") <= ttl) & ~F.col("_p._r")
+    return rows.where(~F.coalesce(same, F.lit(False)) & ~F.col("_r")).drop("_p", "_r")
 
 
 def group_events(df: DataFrame, group: str, keys: list[str], ttl: int = PISTON_TTL, time: str = "time", id_col: str = "id") -> DataFrame:
     """All rows of the groups in which any row's key wasn't seen within ttl seconds before; every row renews its key."""
-    w = Window.partitionBy(*keys).orderBy(time, id_col)
-    fresh = F.coalesce(F.col(time) - F.lag(time).over(w) > ttl, F.lit(True))
-    marked = df.withColumn("_fresh", fresh)
+    fresh = F.coalesce(F.col(time) - F.col(f"_p.{time}") > ttl, F.lit(True))
+    marked = before(df, keys, [time], "_p", time, id_col).withColumn("_fresh", fresh)
     logged = marked.groupBy(group).agg(F.bool_or("_fresh").alias("_any")).where("_any").select(group)
     return df.join(logged, group, "left_semi")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.frames import once
-from tracewright.operators import asof, lookup, migrate, names, payload, retain, revert, suppress
+from tracewright.operators import asof, commands, lookup, migrate, names, payload, retain, revert, suppress
 from tracewright.plans.spec import Box, LookupSpec, PurgeSpec
 from tracewright.sources import fixtures, listeners
 from tracewright.sources.fixtures import NOW, with_views
@@ -457,3 +457,53 @@ def migrate_add_columns(spark, d):
     }
     tables, _ = migrate.apply({"sign": _sites(spark, d)["sign"]}, (2, 0, 0), steps)
     return tables["sign"].select("id", "time", "color", "note")
+
+
+# ---- commands
+
+@query(f"""{with_views('site_block', 'site_container', 'item')}, u_ AS (SELECT 0 AS tbl, id, time, wid, x, z, action FROM site_block_ UNION ALL SELECT 1, id, time, wid, x, z, action FROM site_container_ UNION ALL SELECT 2, id, time, wid, x, z, action FROM item_ WHERE action NOT IN (8, 9, 10, 11, 12))
+ SELECT tbl, id, time FROM u_ WHERE wid = 1 AND x BETWEEN -5 AND 5 AND z BETWEEN -5 AND 5 ORDER BY time DESC, tbl DESC, id DESC LIMIT 50""")
+def lookup_near(spark, d):
+    return lookup.page(_sites(spark, d), commands.near_spec((1, 0, 60, 0), 50)).select("tbl", "id", "time")
+
+
+@query(f"{with_views('site_block', 'user')} SELECT t.id, t.time, u.name AS user_name, t.action FROM (SELECT * FROM site_block_ WHERE wid = 1 AND x = 0 AND y = 60 AND z = 0 AND action IN (0, 1) ORDER BY id DESC LIMIT 7) t LEFT JOIN user_ u ON u.id = t.user_id")
+def inspect_block(spark, d):
+    return commands.inspect(_sites(spark, d), "block", (1, 0, 60, 0)).select("id", "time", "user_name", "action")
+
+
+_LIVE = ("block", "chat", "command", "container", "item", "session", "sign")
+
+
+@query(with_views(*_LIVE, "username") + " " + " UNION ALL ".join(f"SELECT '{f}' AS family, count(*) AS n, max(time) AS newest, CAST(0 AS BIGINT) AS pending, CAST(sum(CASE WHEN {'time < ' + str(NOW - 30 * DAY + 18 * DAY) if f != 'username' else 'false'} THEN 1 ELSE 0 END) AS BIGINT) AS purgeable FROM {f}_" for f in (*_LIVE, "username")))
+def status_counts(spark, d):
+    """Status with an automatic purge of 30 days, seen 18 days from now."""
+    return commands.status(LogStore.given(spark, d), purge=commands.auto_purge("30d", NOW + 18 * DAY))
+
+
+@query(f"{with_views('site_block', 'payload_source')} SELECT b.id, p.raw AS side_value FROM site_block_ b LEFT JOIN payload_source_ p ON b.type <> 0 AND p.ref_id = b.data WHERE b.action = 3")
+def kill_side_table(spark, d):
+    side = fixtures.view(spark, d, "payload_source").select(F.col("ref_id").alias("id"), F.col("raw").alias("data"))
+    return asof.side_table(_sites(spark, d)["block"], side).select("id", "side_value")
+
+
+@query(f"{with_views('chat')} SELECT id FROM chat_ WHERE message IS NOT NULL AND NOT starts_with(message, '/')")
+def api_log_chat(spark, d):
+    return once(commands.log_rows(LogStore.given(spark, d)["chat"].select("id", "user_id", "wid", "message"), "chat")).select("id")
+
+
+@query(f"{with_views('block')} SELECT id, 1 AS action FROM block_ WHERE user_id IS NOT NULL AND wid IS NOT NULL")
+def api_log_placement(spark, d):
+    return once(commands.log_rows(LogStore.given(spark, d)["block"].select("id", "user_id", "wid", "action"), "block", 1)).select("id", "action")
+
+
+@query(f"{_S} SELECT wid, x, y, z, type, CAST(sum(amount) AS BIGINT) AS amount FROM site_container_ GROUP BY ALL")
+def item_stacks(spark, d):
+    return suppress.stacked(_sites(spark, d)["container"], asof.PLACE, ["type"])
+
+
+@query(f"{_SEL_BLOCK} SELECT id, type FROM sel WHERE action = 1 AND rolled_back & 1 = 0")
+def rollback_placed(spark, d):
+    """Rows that a rollback of placings would undo."""
+    out = commands.rollback(_sites(spark, d), LookupSpec((1,), start=_SPEC.start, wid=_SPEC.wid, box=_SPEC.box))
+    return out["block_states"].select("id", "type")

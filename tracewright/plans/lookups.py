@@ -412,3 +412,39 @@ def lookup_lines(spark, d):
 def decode_blockdata(spark, d):
     store = LogStore.given(spark, d)
     return codes.decode_blockdata(store.once(store["block"].select("id", "blockdata"), "block"), store["material"]).select("id", "names")
+
+
+def _stamped(table: str, extra: str, where: str) -> str:
+    return f"{with_views('chat', 'session', 'username', 'sign')} SELECT t.id, CAST(t.time * 1000 AS VARCHAR) AS stamp, {extra} FROM {table} t WHERE {where}"
+
+
+@query(_stamped("chat_", "t.message AS text", f"t.time > {NOW - DAY} AND t.message IS NOT NULL AND t.user_id IS NOT NULL"))
+def networking_messages(spark, d):
+    store = LogStore.given(spark, d)
+    rows = lookup.rows(store, parse("a:chat t:1d", NOW)).where("message is not null and user_id is not null")
+    r = render.message_records(lookup.named(store, rows))
+    return r.select("id", F.get_json_object("record", "$.time").alias("stamp"), F.get_json_object("record", "$.message").alias("text"))
+
+
+@query(_stamped("session_", "CASE t.action WHEN 1 THEN 'login' ELSE 'logout' END AS text", f"t.time > {NOW - 2 * DAY}"))
+def networking_sessions(spark, d):
+    store = LogStore.given(spark, d)
+    r = render.session_records(lookup.named(store, lookup.rows(store, parse("a:session t:2d", NOW))))
+    return r.select("id", F.get_json_object("record", "$.time").alias("stamp"), F.get_json_object("record", "$.action").alias("text"))
+
+
+@query(_stamped("username_", "t.name AS text", f"t.time > {NOW - 3 * DAY} AND t.name IS NOT NULL"))
+def networking_usernames(spark, d):
+    r = render.username_records(lookup.rows(LogStore.given(spark, d), parse("a:username t:3d", NOW)).where("name is not null"))
+    return r.select("id", F.get_json_object("record", "$.time").alias("stamp"), F.get_json_object("record", "$.target").alias("text"))
+
+
+@query(f"{with_views('sign')} SELECT id, regexp_replace('§x§a§b§c§1§2§3' || line_1, '§[xX](§[0-9a-fA-F]){{6}}', '', 'g') AS plain FROM sign_ WHERE line_1 IS NOT NULL")
+def sign_colours(spark, d):
+    s = LogStore.given(spark, d)["sign"].where("line_1 is not null")
+    return s.select("id", codes.strip_colours(F.concat(F.lit("§x§a§b§c§1§2§3"), "line_1")).alias("plain"))
+
+
+@query(f"{with_views('material')} SELECT id, lower(split_part(name, ':', -1)) AS short FROM material_")
+def decode_types(spark, d):
+    return LogStore.given(spark, d)["material"].select("id", codes.short_type(F.col("name")).alias("short"))

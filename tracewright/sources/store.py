@@ -158,3 +158,18 @@ def ingest(df: DataFrame, folder: str, family: str, hooks: tuple[Hook, ...] = ()
     for hook in hooks:
         out = out.transform(hook)
     append(out, folder, family)
+
+
+def version(spark: SparkSession, folder: str) -> tuple[int, int, int]:
+    """The schema version which a store was last migrated to; (0, 0, 0) where none is noted."""
+    try:
+        row = spark.read.text(os.path.join(folder, "_version")).first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return (0, 0, 0)
+    return tuple(int(p) for p in row.value.split("."))
+
+
+def set_version(spark: SparkSession, folder: str, at: tuple[int, int, int]) -> None:
+    spark.createDataFrame([(".".join(map(str, at)),)], "value string").coalesce(1).write.mode("overwrite").text(os.path.join(folder, "_version"))
