@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def once(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row for each entry: re-delivered copies of an id are equal in all columns.
+def once(df: DataFrame) -> DataFrame:
+    """One row for each entry: re-delivered copies are equal in all columns, so the frame (with its id) is made distinct.
 
-    Call it after filters and projections, since these commute with it and shrink what is shuffled.
+    Call it after filters and projections, since these commute with it and shrink what is shuffled. A distinct over
+    all columns is a hash aggregate; picking first values by id would sort wherever there are strings.
     """
-    return df.dropDuplicates([id_col])
+    return df.distinct()
 
 
 def bucket(time: Column, seconds: int) -> Column:

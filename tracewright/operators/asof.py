@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.frames import bucket, once
+from tracewright.frames import bucket
 from tracewright.functions.codes import BLOCK_BIT
 
 PLACE = ["wid", "x", "y", "z"]
@@ -99,7 +99,7 @@ def confirmed(proposed: DataFrame, observed: DataFrame, ticks: int, value: str =
 
 def latest_of(df: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
     """The row with the largest id of each key."""
-    return once(df, id_col).groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), id_col).alias("m")).select(*keys, "m.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), id_col).alias("m")).select(*keys, "m.*")
 
 
 def side_table(block: DataFrame, side: DataFrame, key: str = "id", value: str = "data") -> DataFrame:

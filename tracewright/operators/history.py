@@ -36,7 +36,7 @@ def versions(df: DataFrame, entity: Column, value: Column, time: str = "time", i
     """entity, value, valid_from, valid_until (null: open) of every version."""
     rows = df.select(entity.alias("entity"), value.alias("value"), F.col(time).alias("t"), F.col(id_col).alias("i")).where(
         F.col("entity").isNotNull() & F.col("t").isNotNull() & (F.length("value") > 0)
-    ).withColumn("b", bucket(F.col("t"), bucket_seconds)).withColumn("h", F.xxhash64("value"))
+    ).withColumn("b", bucket(F.col("t"), bucket_seconds)).where(F.col("b").isNotNull()).withColumn("h", F.xxhash64("value"))
     w = Window.partitionBy("entity", "b").orderBy("t", "i")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     marked = rows.select(
