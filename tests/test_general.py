@@ -46,6 +46,10 @@ def test_heavy_keys_count_entries_once(spark):
     assert {r.n for r in shares.where("key_field = 'user_id' and key_value = 1").collect()} == {40}
     assert shares.where("key_value is null").count() == 2 and {r.total for r in shares.select("total").collect()} == {101}
     assert skew.heavy_keys(skew.key_shares(df.where("false"), dims)).count() == 0
+    exact = log(spark, [(k, 1 if k < 3 else 10 + k, None, 0, 1, k, 0) for k in range(100)])
+    assert {tuple(r) for r in skew.heavy_keys(skew.key_shares(exact, dims)).collect()} == {("user_id", 1)}
+    with pytest.raises(ValueError):
+        skew.key_shares(df, {"user_id": dims["user_id"], "time": dims["wid"]})
 
 
 def test_features_are_maintained(spark):

@@ -68,11 +68,11 @@ def before(df: DataFrame, keys: list[str], columns: list[str], out: str = "_befo
     return x.alias("x").join(carried.alias("c"), on, "left").select("x.*", F.coalesce("x._inside", "c._carried").alias(out)).drop("_bucket", "_inside")
 
 
-SMALL_INPUT = 8 << 20
+SMALL_INPUT = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """An input of one or two splits, over all cores, ahead of a stage in Python; larger ones have splits enough."""
+    """An input of a single split, over all cores, ahead of a stage in Python; larger ones have splits enough."""
     if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SMALL_INPUT:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -74,16 +74,20 @@ def key_shares(entries: DataFrame, keys: dict[str, DataFrame], dim_key: str = "i
     total; a null key value is kept as a row of its own, so that the n of a field add up to the total.
     """
     names = list(keys)
+    kinds = {entries.schema[k].dataType.simpleString() for k in names}
+    if len(kinds) != 1:
+        raise ValueError("the key columns must be of one type")
+    kind = kinds.pop()
     once = entries.select(F.col(id_col).alias("entry"), *names).groupBy("entry", *names).agg(F.lit(1).alias("one"))
     fine = once.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     parts = F.explode(F.array(
-        F.struct(F.lit("").alias("key_field"), F.lit(None).cast("int").alias("key_value")),
-        *[F.struct(F.lit(k).alias("key_field"), F.col(k).cast("int").alias("key_value")) for k in names],
+        F.struct(F.lit("").alias("key_field"), F.lit(None).cast(kind).alias("key_value")),
+        *[F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_value")) for k in names],
     ))
     coarse = fine.select(parts.alias("k"), "n").groupBy("k.key_field", "k.key_value").agg(F.sum("n").alias("n"))
     known = reduce(
         DataFrame.unionByName,
-        [key_states(d, dim_key, prefix="").select(F.lit(k).alias("key_field"), F.col("key_value").cast("int").alias("key_value"), F.col("n").alias("known")) for k, d in keys.items()],
+        [key_states(d, dim_key, prefix="").select(F.lit(k).alias("key_field"), F.col("key_value").cast(kind).alias("key_value"), F.col("n").alias("known")) for k, d in keys.items()],
     )
     total = coarse.where(F.col("key_field") == "").select("n").scalar()
     return (
@@ -94,5 +98,5 @@ def key_shares(entries: DataFrame, keys: dict[str, DataFrame], dim_key: str = "i
 
 
 def heavy_keys(shares: DataFrame, at_least: float = 0.03) -> DataFrame:
-    """The non-null keys which hold at least that share of all entries; both sides are whole numbers but the share."""
-    return shares.where(F.col("key_value").isNotNull() & (F.col("n") >= F.lit(at_least) * F.col("total"))).select("key_field", "key_value")
+    """The non-null keys which hold at least that share of all entries; a share that is met exactly counts."""
+    return shares.where(F.col("key_value").isNotNull() & (F.col("n") / F.col("total") >= at_least)).select("key_field", "key_value")

@@ -89,7 +89,7 @@ _SESSIONS = """WITH e AS (SELECT DISTINCT 0 AS s, id, user_id, time FROM log_blo
  n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY time, s, id) AS k FROM g)"""
 
 ORACLE = {
-    "p4_found": f"{_KEYS} SELECT key_field, key_value FROM k, t WHERE key_value IS NOT NULL AND n >= 0.03 * total",
+    "p4_found": f"{_KEYS} SELECT key_field, key_value FROM k, t WHERE key_value IS NOT NULL AND CAST(n AS DOUBLE) / total >= 0.03",
     "p4_key_totals": f"{_KEYS} SELECT k.key_field, k.key_value, k.n, coalesce(d.known, 0) AS known, t.total FROM k CROSS JOIN t LEFT JOIN dims d ON d.key_field = k.key_field AND d.key_value = k.key_value",
     "p4_user_pairs": """SELECT b.user_id, b.n AS n_block, c.n AS n_container, b.n * c.n AS pairs, CAST(b.n * c.s AS BIGINT) AS joined_sum_amount
  FROM (SELECT user_id, count(DISTINCT id) AS n FROM log_block GROUP BY 1) b

@@ -20,7 +20,7 @@ EVENTS: dict[str, tuple[str, tuple[int, ...], str | None]] = {
     "player_interact": ("block", (2,), None), "armor_stand_manipulate": ("block", (2,), None), "entity_death": ("block", (3,), None), "player_death": ("block", (3,), None), "campfire_start": ("block", (1,), None),
     "block_dispense": ("container", (0,), "#dispenser"), "hopper_pull": ("container", (0,), "#hopper"), "hopper_push": ("container", (1,), "#hopper"), "inventory_change": ("container", (0, 1), None), "inventory_click": ("container", (0, 1), None), "take_book": ("container", (0,), None), "golem_chest": ("container", (0, 1), "#copper_golem"), "pre_dispense": ("container", (0,), "#dispenser"), "damage_by_entity": ("container", (0,), None), "damage_by_block": ("container", (0,), None),
     "drop_item": ("item", (2,), None), "pickup_item": ("item", (3,), None), "pickup_arrow": ("item", (3,), None), "throw_item": ("item", (6,), None), "shoot_item": ("item", (7,), None), "item_break": ("item", (8,), None), "item_destroy": ("item", (9,), None), "craft_item": ("item", (10,), None), "sell_item": ("item", (11,), None), "buy_item": ("item", (12,), None), "ender_take": ("item", (4,), None), "ender_put": ("item", (5,), None),
-    "chat": ("chat", (), None), "command": ("command", (), None), "join": ("session", (1,), None), "quit": ("session", (0,), None), "sign_change": ("sign", (0, 1), None), "bulk_edit": ("block", (0, 1), "#worldedit"),
+    "chat": ("chat", (), None), "command": ("command", (), None), "join": ("session", (1,), None), "quit": ("session", (0,), None), "sign_change": ("sign", (0, 1), None), "bulk_edit": ("block", (0, 1), None),
 }
 
 
