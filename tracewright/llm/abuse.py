@@ -385,8 +385,9 @@ def _scorer(model: Trees):
 
 def scored(log: DataFrame, model: Trees, id_col: str = "id", source: str = "wid", message: str = "message") -> DataFrame:
     """chat_id, source and score of every delivered row; a score is a calibrated probability."""
-    rows = log.select(F.col(id_col).cast("long").alias("chat_id"), F.col(source).cast("int").alias("source"), F.col(message).alias("message"))
-    return spread(rows).mapInArrow(_scorer(model), "chat_id bigint, source int, score double")
+    rows = log.select(F.col(id_col).cast("long").alias("chat_id"), F.col(source).alias("source"), F.col(message).alias("message"))
+    kind = rows.schema["source"].dataType.simpleString()
+    return spread(rows).mapInArrow(_scorer(model), f"chat_id bigint, source {kind}, score double")
 
 
 def flagged(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -66,12 +66,13 @@ use @everyone only for raids|@all vote now|server feels slow, ping is {n}|sorry
 ok|true|haha|deal|gg everyone|brb dinner|one moment|no idea|cool hat|sure thing|yes please|good night folks|welcome back!|back again|hello from a new player|is the auction still open|congrats on the promotion!|what time is it over there
 why is it always raining in this world|i will log off soon, see you tomorrow|lol that was close|how do i craft {item}|where can i find {item}, i searched {place} already|trading post reopened, ask for {item}|wait for me i am walking from {place}|please don't pick the flowers by {place}
 {player} is my best friend here|tell {player} hi from me|ask {player} about it|thanks {player}|{player} took {n} {item}|my name here is {player}|i'm {player} now|{player}'s brother built that farm|contact {player} for {item}|greetings {player}
-/tp {c} {c} {c}|/seed {seed}|/pay {player} {big}|/worldborder set {big}|/give @p ns:{item1} {n}|/kill @e[type=ns:cave_spider,distance=..{n}]|/co lookup u:{player} t:{n}h r:{n}|/co rollback u:{player} t:{d}d r:10 a:block|/ban {player} repeated spam, case {n}-{n}{d}
+/tp {c} {c} {c}|/seed {seed}|/pay {player} {big}|/worldborder set {big}|/give @p ns:{item1} {n}|/kill @e[type=ns:cave_spider,distance=..{n}]|/{cmd} lookup u:{player} t:{n}h r:{n}|/{cmd} rollback u:{player} t:{d}d r:10 a:block|/ban {player} repeated spam, case {n}-{n}{d}
 /time set {big}|/trust {player}|/home mine{d}|/locate biome {d} @s[scores={{points={n}..}}]|/warp market|/gamemode 1|update on {h}.{n}.2022, the number {n} bus is late|row {n} seat {d}|press {d} {d} {d} to open|code {big} for the vault door|score {n}-{n} in round {d}
 three people are camping at {place} again|nobody likes {beast}|you are such a clown, {player}|i will find you {player}|send me pics {player}|reported someone at {place}|mods, the lever at {place} is stuck|vote for the server, rewards are {item}
 my sister is here|my teacher is strict|my brother built that tower|my class is boring|paid for the server last month|homework is done|real name please|name the horse|what is your email|send me your number|my passport is lost|the address is secret|call me later|text me later|id card needed for the vault
 my coords are {c} {y} {c}|my coords are {c} {y} {c}|my coords are {p} {y} {p}|my coords are {p} {y} {p}|/tp {p} {y} {p}|coords {p} {y} {p}|coords: {c} {y} {c}|i am at {c} {y} {c}|/tp {c} {y} {c}|/tp {c} {y} {c}|/tp {c} {y} {c}|x {c} y {y} z {c}|my coords are {c} {y} {c} bring {item}|chunk {c} {c} is lagging|chunk {c} {c} is corrupted, build {n}|dungeon at {c} {y} {c}|come to {c} {y} {c}
 nice build at {Place}, love the windows|meet me at {Place} in {n} minutes|claim number {n} overlaps with {Place}|party at {Place}, bring {item}|i lost all my stuff near {Place}|shoot the target at {Place}|three people are camping at {Place}|just planted {n} trees around {Place}|walking from {Place}|{Place} is cold|{Place} and {Place} are far|thanks for the help with {Place}|i have a map of {Place}|zombies behind {Place}|the lever at {Place} is stuck
+elves breed like rabbits and eat our crops|keep our guild strong, kick each noob|let's play together on voice tonight|all trolls are mean, throw them out|goblins carry nothing but trouble|they should stay out of our valley|we never let trolls into the guild house|the clock is finally running|i looked everywhere already, show me the way
 every goblin must leave this server|typical elves, born liars|typical goblins, always late|purge every goblin from this land|goblins out, the elves are better|throw out every elf|all elves are slow|no goblins allowed here|the only good goblin is a sleeping goblin|you are the worst player ever, {player}|get lost {player}|you dumb clown, uninstall the game
 ELVES RAUS|elves raus, die goblins sind doof|du bist so doof, {player}|halt den mund du clown|eres un payaso, {player}|tu es nul {player}|shut up you noob|hope you trip over|show me your house|show me the {item}|anyone up for a duel in pm|looking for a team, whisper me|trading post reopened, ask for {item}|trading post reopened, ask for {item}|ask for {item} at {place}|ask for {item} or {item}
 ask the guards about {item}|tell everyone hi from me|this is the best server|this is taking ages|greetings from {place}|greetings from the mine and good luck|my teacher is strict|my boss would love this map|say hello to the horse|regards, the mayor|signed books are on sale|i'm tired irl|i am happy in real life|it's raining here|me llamo la atención|ich heiße euch willkommen|the name is on the sign
@@ -168,6 +169,7 @@ class _Filler:
         a, b = r.choice(_PLAYER), r.choice(_ANIMAL)
         return {
             "item": lambda: r.choice(_ITEM),
+            "cmd": lambda: "".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.choice([1, 2, 2, 3]))),
             "item1": lambda: r.choice(_ITEM).split()[0],
             "n": lambda: str(r.randrange(1, 99)),
             "d": lambda: str(r.randrange(1, 9)),
@@ -206,12 +208,12 @@ def fill(frame: str, f: _Filler) -> list[tuple[str, str]]:
     return [x for x in [*out, (frame[at:].replace("{{", "{").replace("}}", "}"), "")] if x[0]]
 
 
-def labelled_table(seed: int = 7, per_positive: int = 7, per_negative: int = 4) -> list[list[tuple[str, str]]]:
+def labelled_table(seed: int = 7, per_positive: int = 9, per_negative: int = 5) -> list[list[tuple[str, str]]]:
     """The rows, alone or next to another sentence, behind a chat command, in lower, upper or title case."""
     f = _Filler(seed)
     bad, good = frames(POSITIVE), frames(NEGATIVE)
     rows = []
-    for frame in [x for x in bad for _ in range(per_positive)] + [x for x in good for _ in range(per_negative)]:
+    for frame, upper in [(x, 0.07) for x in bad for _ in range(per_positive)] + [(x, 0.15) for x in good for _ in range(per_negative)]:
         row = fill(frame, f)
         harmless = fill(f.r.choice(good), f)
         x = f.r.random()
@@ -222,9 +224,9 @@ def labelled_table(seed: int = 7, per_positive: int = 7, per_negative: int = 4)
         x = f.r.random()
         if x < 0.15 and not row[0][0].startswith("/"):
             row = [(f.r.choice(["/msg {player} ", "/tell {player} ", "/mail send {player} ", "/w {player} ", "/r ", "/ticket new ", "/me "]).replace("{player}", f.plain("player")), ""), *row]
-        elif x < 0.22:
+        elif x < 0.15 + upper:
             row = [(s.upper(), k) for s, k in row]
-        elif x < 0.27:
+        elif x < 0.2 + 1.5 * upper:
             row = [(s.title() if not k else s, k) for s, k in row]
         rows.append(row)
     return rows

@@ -140,4 +140,4 @@ def repetition(documents: DataFrame, id_col: str = "doc_id", text: str = "text")
 def repetitive(documents: DataFrame, at_least: float = 0.3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of the documents with at least that share of repeated letters and digits."""
     r = repetition(documents, id_col, text)
-    return r.where((F.col("total") > 0) & (F.col("repeated") >= F.col("total") * at_least)).select(id_col)
+    return r.where((F.col("total") > 0) & (F.col("share") >= at_least)).select(id_col)
