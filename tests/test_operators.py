@@ -251,6 +251,14 @@ def test_purge_writes_the_complement(spark, sf, tmp_path):
     assert st.LogStore.open(spark, str(tmp_path))["chat"].count() == s["chat"].where(~retain.condition(spec)).count()
 
 
+def test_package_is_shipped_once(spark):
+    from tracewright.session import ship_package
+
+    ship_package(spark)
+    ship_package(spark)
+    assert sum(f.endswith("tracewright.zip") for f in spark.sparkContext.listFiles) == 1
+
+
 def test_automatic_purge():
     assert commands.auto_purge("off", NOW) is None and commands.auto_purge("", NOW) is None
     assert commands.auto_purge("6mo", NOW).end == NOW - 15_552_000

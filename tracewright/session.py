@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -36,3 +38,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors once a context, so that Python stages find it wherever the driver runs from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tracewright_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tracewright-code-")) / "tracewright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))  # the driver serves it
+    sc._tracewright_shipped = True
