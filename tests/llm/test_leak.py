@@ -49,6 +49,38 @@ def test_quotes(seed):
     assert index.leaked(f"{filler} {' '.join(own[:12])} {filler} {' '.join(own[14:26])}") == set()
 
 
+@pytest.mark.parametrize("n, gap", [(18, 8), (20, 9), (25, 12)])
+def test_interrupted_quotes(n, gap):
+    r = random.Random(n)
+    own = item(r).split()
+    index = leak.Index([(7, " ".join(own))])
+    for before in range(0, 60, 5):
+        text = [*item(r, before).split(), *own[:n], *item(r, gap).split(), *own[n : 2 * n], *item(r, 30).split()]
+        assert index.leaked(" ".join(text)) == {7}
+
+
+def test_short_quote_hides_no_leak():
+    r = random.Random(5)
+    own = item(r).split()
+    changed = [("zzz" if i in (4, 9, 14) else w) for i, w in enumerate(own[30:48])]
+    index = leak.Index([(7, " ".join(own))])
+    assert index.leaked(" ".join([*own[:12], *item(r, 6).split(), *changed])) == {7}
+    assert index.leaked(" ".join([*own[:12], *item(r, 6).split(), *changed[:12]])) == set()
+
+
+def test_fitting():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 20))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+            row = new
+        assert leak.fitting(a, b) == min(row)
+
+
 def test_long_documents(spark):
     r = random.Random(3)
     p = item(r, 40)

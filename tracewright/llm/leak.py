@@ -5,7 +5,7 @@ the word, and the largest in each block of BLOCK items. Every passage of a docum
 OVERLAP) is a query. An item must be found when WORDS words in a row of it occur with at most EDITS of them changed;
 the least BM25 score such a stretch can leave is known for each item, and weights are divided by it, so a score of 1
 is the threshold and nothing above it is missed. WAND skips items, and block maxima skip blocks, which cannot reach
-it. Found items are verified by local alignment of words.
+it. Found items are verified: every WORDS words in a row by edit distance, longer stretches by local alignment.
 
 The index is broadcast in blocks of at most ITEMS items, a fixed bound; more items make more passes over the
 documents, never a larger broadcast.
@@ -183,14 +183,18 @@ def dense(passage: list[str], grams: set[tuple[str, str, str]], have: set[str])
 
 
 def contains(passage: list[str], text: list[str]) -> bool:
-    """Whether WORDS words in a row of the passage occur in the text, with about one in ten changed, left out or added."""
-    span, edits, start, end, at = best_stretch(passage, text)
-    if span >= WORDS:
-        return edits <= max(EDITS, 0.2 * span)
-    if span < WORDS // 2:
-        return False
-    near = text[max(0, at - 2 * WORDS - 4) : at + WORDS + 4]
-    return any(fitting(passage[s : s + WORDS], near) <= EDITS for s in range(max(0, end - WORDS), min(start, len(passage) - WORDS) + 1))
+    """Whether WORDS words in a row of the passage occur in the text, with about one in ten changed, left out or added.
+
+    Every WORDS words are tried by themselves, as the best alignment may join two quotes over a gap that is too wide for
+    it; only then longer stretches, whose changes may lie closer in places.
+    """
+    have = set(text)
+    there = [w in have for w in passage]
+    for s in range(len(passage) - WORDS + 1):
+        if sum(there[s : s + WORDS]) >= WORDS - EDITS and fitting(passage[s : s + WORDS], text) <= EDITS:
+            return True
+    span, edits = best_stretch(passage, text)[:2]
+    return span >= WORDS and edits <= max(EDITS, 0.2 * span)
 
 
 def best_stretch(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
@@ -220,14 +224,28 @@ def best_stretch(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
 
 
 def fitting(a: list[str], b: list[str]) -> int:
-    """Least edits to find all of a somewhere in b."""
-    row = [0] * (len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
-        row = new
-    return min(row)
+    """Least edits to find all of a somewhere in b, by the bits of a column at once (Myers)."""
+    if not a:
+        return 0
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, edits = full, 0, len(a)
+    least = edits
+    for y in b:
+        same = at.get(y, 0)
+        diagonal = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(across | up)), up & across
+        if more & last:
+            edits += 1
+        elif less & last:
+            edits -= 1
+            least = min(least, edits)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (full & ~(diagonal | more)), more & diagonal
+    return least
 
 
 def _finder(index: Index):
