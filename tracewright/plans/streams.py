@@ -9,7 +9,7 @@ from tracewright.plans import changes
 from tracewright.sources import fixtures
 from tracewright.sources.fixtures import with_views
 from tracewright.streaming import suppress
-from tracewright.streaming.drain import drain
+from tracewright.streaming.drain import LATE, drain, drain_closed
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -30,8 +30,8 @@ def stream_suppress_unchanged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_item_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts over all bursts which the watermark has closed; how many are closed depends on the micro-batches."""
-    bursts = drain(suppress.item_bursts(_stream(spark, d, "item"), "12 hours"))
+    """Amounts over all bursts of the item log, those that are open at its end too."""
+    bursts = drain_closed(_stream(spark, d, "item"), lambda s: suppress.item_bursts(s, "12 hours", LATE))
     return bursts.groupBy("action").agg(F.count(F.lit(1)).alias("bursts"), F.sum("amount").alias("amount"))
 
 
