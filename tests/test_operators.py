@@ -203,6 +203,28 @@ def test_names(spark):
     assert {r.name_key: r.id for r in names.user_lookup(d.union(spark.createDataFrame([(9, "A")], "id int, name string"))).collect()} == {"a": 1, "b": 7}
 
 
+def test_upserts_of_unknown_and_respelled_uuids(spark):
+    a, b, c = (x * 8 + "-" + "-".join([x * 4] * 3) + "-" + x * 12 for x in "abc")
+    users = spark.createDataFrame([(1, a, "Ann"), (2, None, "Bob"), (3, None, "#tnt"), (4, b, "Eve"), (5, None, "BOB"), (6, "", "Zed")], "id int, uuid string, name string")
+    seen = spark.createDataFrame(
+        [(1, 10, a, "Ann"), (2, 20, a.upper(), "Anna"), (3, 10, c.replace("-", ""), "bob"), (4, 30, c, "Bobby"), (5, 5, b, "Eve"), (6, 6, "e" * 32, "nobody"), (7, 7, None, "Zed")],
+        "id long, time long, uuid string, name string",
+    )
+    assert sorted(tuple(r) for r in names.upserted_users(users, seen).collect()) == [(1, a, "Ann", "Anna"), (2, c, "Bob", "Bobby")]
+    e = "-".join(["e" * 8, *["e" * 4] * 3, "e" * 12])
+    got = names.missing_history(seen.where("id in (1, 3)"), seen.where("uuid is not null")).collect()
+    assert sorted(tuple(r) for r in got) == [(a, "Anna", 20), (b, "Eve", 5), (c, "Bobby", 30), (e, "nobody", 6)]
+
+
+def test_upserts_of_the_given_log(spark, sf):
+    s = st.LogStore.given(spark, sf)
+    got = names.upserted_users(s["user"], s["username"].where("time is not null"))
+    empty = got.join(s["user"].where("uuid is null"), "id").count()
+    lower = s["username"].where("uuid is not null and time is not null").select(F.lower("name").alias("k")).distinct()
+    assert empty == s["user"].where("uuid is null").join(lower, F.lower("name") == F.col("k"), "left_semi").select("id").distinct().count() > 0
+    assert got.count() == got.select("id").distinct().count()
+
+
 def test_migrations_run_in_order(spark):
     order = []
     steps = {(2, 0, 0): lambda t: (order.append(2), t)[1], (1, 5, 0): lambda t: (order.append(1), t)[1], (3, 0, 0): lambda t: (order.append(3), t)[1]}

@@ -409,6 +409,20 @@ def username_upsert(spark, d):
     return names.updated_users(s["user"], s["username"].where("time is not null"))
 
 
+@query()
+def username_upsert_whole(spark, d):
+    """Users without a uuid too, and uuids in any spelling, which the SQL of username_upsert leaves out."""
+    s = LogStore.given(spark, d)
+    return names.upserted_users(s["user"], s["username"].where("time is not null"))
+
+
+@query()
+def username_history_append_whole(spark, d):
+    """Uuids in any spelling count as one, which the SQL of username_history_append holds apart."""
+    s = LogStore.given(spark, d)
+    return names.missing_history(s["user"].where("uuid is not null"), s["username"].where("time is not null"))
+
+
 @query(f"{_N}, n AS (SELECT min(name) AS name FROM username_ WHERE length(name) > 0 AND lower(name) NOT IN (SELECT lower(name) FROM user_ WHERE name IS NOT NULL) GROUP BY lower(name)) SELECT CAST((SELECT max(id) FROM user_) + row_number() OVER (ORDER BY name) AS INT) AS id, name FROM n")
 def dict_assign_ids(spark, d):
     s = LogStore.given(spark, d)
