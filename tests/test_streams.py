@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tracewright.plans import registry
 from tracewright.sources import fixtures
 from tracewright.streaming import suppress
-from tracewright.streaming.drain import LATE, drain_closed
+from tracewright.streaming.drain import LATE, drain, drain_closed
 
 
 def rows(df):
@@ -27,3 +27,22 @@ def test_bursts_over_micro_batches_in_any_order(spark, sf, tmp_path):
     s = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drain_closed(s, lambda x: suppress.item_bursts(x, "12 hours", LATE))
     assert rows(got) == rows(suppress.item_bursts(log, "12 hours"))
+
+
+def test_breaks_reset_the_change_filter(spark, tmp_path):
+    # placed, placed again (dropped), broken, placed again (a later file), again (dropped); another place: only broken
+    first = [(1, 10, 1, 0, 60, 0, 5, 1), (2, 20, 1, 0, 60, 0, 5, 1), (3, 30, 1, 0, 60, 0, 5, 0), (6, 30, 1, 9, 60, 0, 5, 0)]
+    later = [(4, 40, 1, 0, 60, 0, 5, 1), (5, 50, 1, 0, 60, 0, 5, 1)]
+    schema = "id long, time long, wid int, x int, y int, z int, type int, action int"
+    kept = []
+    for k, part in enumerate((first, later, first + later)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / ("two" if k < 2 else "one")))
+    for folder in ("two", "one"):
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / folder))
+        got = drain(suppress.changes_only(s, ["wid", "x", "y", "z"], ttl=90, reset=("action", 0)))
+        kept.append(rows(got.select("id")))
+    assert kept == [[(1,), (4,)]] * 2
+
+
+def test_streamed_filter_is_the_batch_filter(spark, sf):
+    assert rows(registry.QUERIES["stream_suppress_unchanged_reset"](spark, sf)) == rows(registry.QUERIES["suppress_unchanged"](spark, sf))

@@ -1,6 +1,6 @@
 """Stateful ingest operators in batch form: repeat suppression, change filter, groups, debounce, snapshot diffs.
 
-Arrival order is (time, id). The streaming forms of the first three are in tracewright.streaming.
+Arrival order is (time, id). The streaming forms of the first two are in tracewright.streaming.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
-"""Streaming forms of ingest operators, run to the end of the given data; their SQL is that of the batch forms."""
+"""Streaming forms of ingest operators, run to the end of the given data; their SQL is that of the batch forms, but for that of
+stream_suppress_unchanged, which knows no resets."""
 
 from __future__ import annotations
 
@@ -29,15 +30,22 @@ def stream_suppress_unchanged(spark: SparkSession, d: str) -> DataFrame:
     return drain(suppress.changes_only(s, ["wid", "x", "y", "z"], ttl=90_000)).select("id")
 
 
+def stream_suppress_unchanged_reset(spark: SparkSession, d: str) -> DataFrame:
+    """A break at the place resets the filter, as in suppress_unchanged; the SQL of stream_suppress_unchanged has placings only."""
+    s = _stream(spark, d, "site_block").where("action IN (0, 1)").select("id", "time", "wid", "x", "y", "z", "type", "action")
+    return drain(suppress.changes_only(s, ["wid", "x", "y", "z"], ttl=90_000, reset=("action", 0))).select("id")
+
+
 def stream_item_totals(spark: SparkSession, d: str) -> DataFrame:
     """Amounts over all bursts of the item log, those that are open at its end too."""
     bursts = drain_closed(_stream(spark, d, "item"), lambda s: suppress.item_bursts(s, "12 hours", LATE))
     return bursts.groupBy("action").agg(F.count(F.lit(1)).alias("bursts"), F.sum("amount").alias("amount"))
 
 
-QUERIES = {f.__name__: f for f in (stream_suppress_repeat, stream_suppress_unchanged, stream_item_totals)}
+QUERIES = {f.__name__: f for f in (stream_suppress_repeat, stream_suppress_unchanged, stream_suppress_unchanged_reset, stream_item_totals)}
 ORACLE = {
     "stream_suppress_repeat": changes.ORACLE["suppress_repeat"],
+    "stream_suppress_unchanged_reset": changes.ORACLE["suppress_unchanged"],
     "stream_suppress_unchanged": f"""{with_views('site_block')}, l AS (SELECT *, lag(type) OVER w AS lt, lag(time) OVER w AS lm FROM site_block_ WHERE action = 1 WINDOW w AS (PARTITION BY wid, x, y, z ORDER BY time, id))
  SELECT id FROM l WHERE NOT coalesce(lt = type AND time - lm <= 90000, false)""",
 }

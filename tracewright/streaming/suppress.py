@@ -1,4 +1,4 @@
-"""Streaming forms of repeat suppression, change filter and group check, with state for each key.
+"""Streaming forms of repeat suppression and change filter, with state for each key; the group check has none.
 
 The state machine of a key is a plain class (State*), so that the batch form, the stream and the tests share what it
 does. Rows of a key are taken in (time, id) order within a micro-batch; across micro-batches arrival order counts.
@@ -41,8 +41,8 @@ class Changes:
 class _Processor(StatefulProcessor):
     state_schema = "time bigint, n bigint"
 
-    def __init__(self, machine, value: str | None, life_seconds: int):
-        self.machine, self.value, self.life = machine, value, life_seconds
+    def __init__(self, machine, value: str | None, life_seconds: int, reset: tuple[str, int] | None = None):
+        self.machine, self.value, self.life, self.reset = machine, value, life_seconds, reset
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -54,10 +54,17 @@ class _Processor(StatefulProcessor):
         state = (int(state[0]), int(state[1])) if state is not None else None
         keep = []
         for r in all_rows.itertuples(index=False):
+            if self.reset and getattr(r, self.reset[0]) == self.reset[1]:
+                state = None
+                keep.append(False)
+                continue
             args = (int(r.time),) if self.value is None else (int(r.time), int(getattr(r, self.value)))
             state, passes = self.machine.step(state, *args)
             keep.append(passes)
-        self.state.update(state)
+        if state is not None:
+            self.state.update(state)
+        else:
+            self.state.clear()
         yield all_rows[keep]
 
     def close(self) -> None:
@@ -73,8 +80,13 @@ def suppress_repeats(stream: DataFrame, keys: list[str], threshold: int, window:
     return _stream(stream, keys, _Processor(Repeats(threshold, window), None, window))
 
 
-def changes_only(stream: DataFrame, keys: list[str], value: str = "type", ttl: int = 1800) -> DataFrame:
-    return _stream(stream, keys, _Processor(Changes(ttl), value, ttl))
+def changes_only(stream: DataFrame, keys: list[str], value: str = "type", ttl: int = 1800, reset: tuple[str, int] | None = None) -> DataFrame:
+    """Drops rows whose key had the same value within ttl seconds before.
+
+    Rows that hold ``reset`` (a column and its value) make the key forget and are dropped themselves; they are rows of the
+    same stream, so that they are taken in order with the others.
+    """
+    return _stream(stream, keys, _Processor(Changes(ttl), value, ttl, reset))
 
 
 def item_bursts(stream: DataFrame, gap: str = "1 second", late: str = "10 seconds") -> DataFrame:
