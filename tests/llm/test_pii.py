@@ -69,3 +69,28 @@ def test_placeholders(spark, model):
 def test_spans_keep_the_rest():
     m = "a  b\tc"
     assert pii.replace(m, [(3, 4, "person")]) == "a  [PERSON]\tc"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("call me on 202-555-0143 202-555-0178", ["[PHONE] [PHONE]"]),
+        ("my number is 202-555-0143 / 202-555-0178", ["[PHONE] / [PHONE]"]),
+        ("email me at a.b@mail.example c.d@mail.example", ["[EMAIL] [EMAIL]"]),
+    ],
+)
+def test_two_in_a_row(model, text, want):
+    clean = pii.replace(text, pii.find(model, [text])[0])
+    assert clean.endswith(want[0]), clean
+
+
+def test_joined_spans_are_parted():
+    def got(kind, text):
+        s = pii.read(text)
+        return [text[a:b] for a, b, _ in pii.entities(s, np.full(len(s.tokens), pii.LABELS.index(kind)))]
+
+    assert got("phone", "202-555-0143 202-555-0178") == ["202-555-0143", "202-555-0178"]
+    assert got("phone", "202 555 0143 202 555 0178") == ["202 555 0143", "202 555 0178"]
+    assert got("phone", "+44 20 7946 0018") == ["+44 20 7946 0018"]
+    assert got("person", "Ann Smithson") == ["Ann Smithson"]
+    assert got("identity", "4111 1111 1111 1111") == ["4111 1111 1111 1111"]

@@ -46,6 +46,7 @@ _DOT = regex.compile(r"\.|\bdot\b")
 _HOUSE = regex.compile(r"(?<![\p{L}\p{N}])\p{N}+\p{L}?(?![\p{L}\p{N}])")
 _TWO_LETTERS = regex.compile(r"\p{L}{2,}")
 _NO_NAME = regex.compile(r"[\p{N}_/@]")
+_PIECE, _LISTED = regex.compile(r"[^\s,;/|]+"), regex.compile(r"[^\n,;/|]*[^\s,;/|]")
 _CACHE = 100_000
 _LANDFORMS = frozenset(pii_table.LANDFORMS)
 _STREETS = frozenset("street st road rd lane ln avenue ave drive dr court ct terrace row way close place crescent boulevard blvd square gardens hollow mews parade rue chemin calle via plaza platz avenida strada straat".split())
@@ -139,6 +140,20 @@ class Sentence:
     command: str  # the command that the message starts with
 
 
+def numbers_in(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The numbers of a run: one, or several where each piece, or each repeat of uneven groups (3-3-4 3-3-4), is a phone number."""
+    pieces = [(a + m.start(), a + m.end()) for m in _PIECE.finditer(text[a:b])]
+    sizes = [_digits(text[x:y]) for x, y in pieces]
+    if len(pieces) < 2:
+        return [(a, b)]
+    if all(7 <= n <= 15 for n in sizes):
+        return pieces
+    for unit in range(2, len(pieces) // 2 + 1):
+        if len(pieces) % unit == 0 and sizes == sizes[:unit] * (len(pieces) // unit) and len(set(sizes[:unit])) > 1 and 7 <= sum(sizes[:unit]) <= 15:
+            return [(pieces[k][0], pieces[k + unit - 1][1]) for k in range(0, len(pieces), unit)]
+    return [(a, b)]
+
+
 def read(text: str) -> Sentence:
     spans = [m.span() for m in _TOKEN.finditer(text)]
     tokens = [unicodedata.normalize("NFKC", text[a:b]) for a, b in spans]
@@ -153,13 +168,13 @@ def read(text: str) -> Sentence:
             at += 1
         chunks.append(at)
     k = 0
-    for m in _NUMBERS.finditer(text):
-        while k < len(spans) and spans[k][1] <= m.start():
+    for start, end in [x for m in _NUMBERS.finditer(text) for x in numbers_in(text, *m.span())]:
+        while k < len(spans) and spans[k][1] <= start:
             k += 1
         j = k
         two = " ".join([t.lower() for t in tokens[max(0, k - 4) : k] if t[0].isalpha()][-2:])
-        while j < len(spans) and spans[j][0] < m.end():
-            runs[j], ahead[j] = m[0], two
+        while j < len(spans) and spans[j][0] < end:
+            runs[j], ahead[j] = text[start:end], two
             j += 1
     command = _COMMAND.match(text)
     return Sentence(text, spans, tokens, chunks, chunk_text, runs, ahead, command[1].lower() if command else "")
@@ -392,17 +407,61 @@ def plausible(kind: str, s: str) -> bool:
     return len(_TWO_LETTERS.findall(s)) >= 2 and _NO_NAME.search(s) is None
 
 
+def parts(kind: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The items of a joined span: itself, or several where blanks or separators part it into items that stand the check."""
+    cut = lambda pattern: [(a + m.start(), a + m.end()) for m in pattern.finditer(text[a:b]) if not m[0].isspace()]
+    good = lambda found: len(found) > 1 and all(plausible(kind, text[x:y]) for x, y in found)
+    pieces = cut(_PIECE)
+    if kind == "phone":
+        found = numbers_in(text, a, b)
+        return found if good(found) else [(a, b)] if plausible(kind, text[a:b]) else _numbers(text, pieces)
+    if kind == "email" and good(pieces):
+        return pieces
+    if kind == "identity" and good(pieces) and all(_digits(text[x:y]) >= 8 for x, y in pieces):
+        return pieces
+    if kind == "person":
+        found, words = [], cut(_PIECE)
+        for k, (x, y) in enumerate(words):
+            if not found or (k - found[-1][2] >= 2 and k + 1 < len(words) and text[x:y].lower() in _GIVEN):
+                found.append((x, y, k))
+            found[-1] = (found[-1][0], y, found[-1][2])
+        if good([f[:2] for f in found]):
+            return [f[:2] for f in found]
+    found = cut(_LISTED) if kind in ("person", "address") else []
+    if kind == "address":
+        found = found if "," not in text[a:b] else []  # a comma parts street and town
+    return found if good(found) else [(a, b)]
+
+
+def _numbers(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces of a span that is no number by itself, in numbers next to each other: all of the digits, else the most; then as even as can be."""
+    best: list[tuple[int, int, list[tuple[int, int]]]] = [(0, 0, [])]
+    sizes = [_digits(text[x:y]) for x, y in pieces]
+    for j in range(1, len(pieces) + 1):
+        options = [best[j - 1]]
+        total = 0
+        for i in range(j - 1, -1, -1):
+            total += sizes[i]
+            if total > 15:
+                break
+            if total >= 7:
+                options.append((best[i][0] + total, best[i][1] - total * total, [*best[i][2], (pieces[i][0], pieces[j - 1][1])]))
+        best.append(max(options, key=lambda o: o[:2]))
+    return best[-1][2]
+
+
 def entities(s: Sentence, path: np.ndarray) -> list[tuple[int, int, str]]:
-    """Start, end and kind of each span that stands the check."""
+    """Start, end and kind of each span that stands the check; neighbours of one kind are parted first."""
     out, i = [], 0
     while i < len(path):
         j = i
         while j < len(path) and path[j] == path[i]:
             j += 1
         if path[i]:
-            a, b, kind = s.spans[i][0], s.spans[j - 1][1], LABELS[path[i]]
-            if plausible(kind, s.text[a:b]):
-                out.append((a, b, kind))
+            kind = LABELS[path[i]]
+            for a, b in parts(kind, s.text, s.spans[i][0], s.spans[j - 1][1]):
+                if plausible(kind, s.text[a:b]):
+                    out.append((a, b, kind))
         i = j
     return out
 
