@@ -68,6 +68,15 @@ def test_short_quote_hides_no_leak():
     assert index.leaked(" ".join([*own[:12], *item(r, 6).split(), *changed[:12]])) == set()
 
 
+def test_items_of_few_different_words():
+    r = random.Random(8)
+    own = item(r, 30)
+    index = leak.Index([(1, own + " la" * 20), (2, item(r, 30)), (3, "la la la")])
+    assert index.leaked(f"{item(r, 70)} {own} {item(r, 30)}") == {1}
+    assert index.leaked(f"{item(r, 70)}{' la' * 20} {item(r, 30)}") == {1}
+    assert index.leaked(f"{item(r, 70)}{' la' * 9} {item(r, 30)}") == set()
+
+
 def test_fitting():
     r = random.Random(6)
     for _ in range(300):

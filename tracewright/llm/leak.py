@@ -66,6 +66,7 @@ class Index:
         mean = sum(map(len, self.passages)) / max(1, len(items))
         self.postings: dict[str, tuple[list[int], list[float], float, int]] = {}  # items, weights, largest, row of tops
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        plain: list[int] = []
         for k, c in enumerate(counts):
             n = len(self.passages[k])
             weight = {w: math.log(1 + (len(items) - held[w] + 0.5) / (held[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in c.items()}
@@ -73,6 +74,10 @@ class Index:
             if least > 0:
                 for w in sorted(c):
                     lists[w].append((k, weight[w] / least))
+            elif n >= WORDS:
+                plain.append(k)
+        #: items without a threshold, as some WORDS words in a row hold EDITS different words at most: verified in every window
+        self.plain = plain
         #: largest weight of each word in each block
         self.tops = np.zeros((len(lists), -(-len(items) // BLOCK)))
         for row, (w, found) in enumerate(lists.items()):
@@ -150,7 +155,7 @@ class Index:
         for s in range(0, max(1, len(w) - OVERLAP), step):
             window = w[s : s + WINDOW]
             grams: set[tuple[str, str, str]] | None = None
-            for k in self.search(set(window)):
+            for k in self.search(set(window)) + self.plain:
                 if grams is None:
                     near = w[max(0, s - OVERLAP) : s + WINDOW + OVERLAP]
                     grams, have = set(zip(near, near[1:], near[2:])), set(near)
