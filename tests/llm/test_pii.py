@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from tests.llm.pii_sentences import KIND, SENTENCES
 from tracewright.llm import pii, pii_table
 
 
@@ -14,37 +15,67 @@ def model():
 
 
 def test_viterbi_equals_all_paths(model):
-    s = pii.read("call Ann at 5")
-    scores, _ = model.scores([s])
-    best = max(itertools.product(range(len(pii.LABELS)), repeat=len(s.tokens)), key=lambda p: model.start[p[0]] + sum(scores[i, k] for i, k in enumerate(p)) + sum(model.trans[a, b] for a, b in zip(p, p[1:])))
-    assert tuple(model.decode([s])[0]) == best
+    text = "call Ann Bell at 5 "
+    scores, _ = model.scores([text])
+    best = max(itertools.product(range(len(pii.LABELS)), repeat=5), key=lambda p: model.start[p[0]] + sum(scores[i, k] for i, k in enumerate(p)) + sum(model.trans[a, b] for a, b in zip(p, p[1:])))
+    got = model.decode([text])[0]
+    assert tuple(got if got is not None else (0,) * 5) == best
+
+
+def test_messages_that_are_not_decoded_have_empty_paths(model):
+    texts = [t for _, t in SENTENCES]
+    scores, ends = model.scores(texts)
+    for k, path in enumerate(model.decode(texts)):
+        whole = model._viterbi([scores[ends[k] : ends[k + 1]]])[0]
+        assert not whole.any() if path is None else (path == whole).all()
 
 
 def test_batch_decoding_is_decoding_one_by_one(model):
-    texts = ["hi", "my email is a.b@c.example", "", "x " * 300, "Ann Smithson, 5 High Street, tel 202-555-0101", "🙂", "a"]
+    texts = ["hi", "my email is a.b@c.example", "", "x " * 300, "Ann Smithson, 5 High Street, tel 202-555-0101", "🙂", "a", " ", "ZOE BELL CALLED ME TODAY", "a\u200bb Tom Bel\u200bler"]
     together = pii.find(model, texts)
     assert together == [pii.find(model, [t])[0] for t in texts]
 
 
-def test_scores_by_parts_equal_scores_by_features(model):
-    s = pii.read("/msg Red_Fox12 call me on +1 (202) 555-0101 or a@b.example, Ann Smith")
-    scores, _ = model.scores([s])
-    for i in range(len(s.tokens)):
-        ids = [model.names[f] for f in pii.features_at(s, i) if f in model.names]
-        assert np.allclose(model.weights[ids].sum(axis=0), scores[i], atol=1e-3)
+@pytest.mark.parametrize("text", ["/msg Red_Fox12 call me on +1 (202) 555-0101 or a@b.example, Ann Smith", "SEND IT TO MY HOME NOW 12345", "соm\u200bputer １２３ 4567 ok", "a"])
+def test_scores_by_parts_equal_scores_by_features(model, text):
+    scores, _ = model.scores([text])
+    feats = pii.features(model.words, pii.read(text))
+    assert len(feats) == len(scores)
+    for i, fs in enumerate(feats):
+        ids = [model.names[f] for f in fs if f in model.names]
+        assert np.allclose(model.weights[ids].sum(axis=0), scores[i], atol=1e-3), i
 
 
-def test_held_out_rows(model):
+def _rates(model, rows):
     right = {k: [0, 0, 0] for k in pii_table.KINDS}
-    for row in pii_table.labelled_table(seed=99, per_positive=2, per_negative=2):
-        text = "".join(s for s, _ in row)
-        want, got = {k for _, k in row if k}, {k for _, _, k in pii.find(model, [text])[0]}
+    for text, want in rows:
+        got = {k for _, _, k in pii.find(model, [text])[0]}
         for k in pii_table.KINDS:
             right[k][0] += k in want and k in got
             right[k][1] += k in want and k not in got
             right[k][2] += k not in want and k in got
-    for k, (tp, fn, fp) in right.items():
-        assert tp / (tp + fn) > 0.93 and tp / (tp + fp) > 0.93, (k, tp, fn, fp)
+    return right
+
+
+def test_held_out_rules():
+    """Trained without a quarter of the rules, judged on rows of that quarter: sentences it was never shown."""
+    total = np.zeros(3)
+    for part in (1, 3):
+        m = pii.trained(pii_table.labelled_table(7, part=part, inside=False))
+        rows = [("".join(s for s, _ in row), {k for _, k in row if k}) for row in pii_table.labelled_table(99, 60, 300, part=part)]
+        total += np.array(list(_rates(m, rows).values())).sum(axis=0)
+    tp, fn, fp = total
+    assert tp / (tp + fn) >= 0.9 and tp / (tp + fp) >= 0.9, total
+
+
+def test_sentences_written_first(model):
+    right = _rates(model, [(t, {KIND[x] for x in kinds if x != "-"}) for kinds, t in SENTENCES])
+    tp, fn, fp = np.array(list(right.values())).sum(axis=0)
+    assert tp / (tp + fn) >= 0.9 and tp / (tp + fp) >= 0.9, right
+
+
+def test_without_vocabularies(tmp_path):
+    assert pii.Words.load(str(tmp_path)).kind("table") == "o"
 
 
 @pytest.mark.parametrize(("text", "want"), [
