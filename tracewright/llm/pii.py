@@ -128,9 +128,9 @@ class Words:
 
 def _case(t: str, flat: bool) -> str:
     """How a word is written; in a message of capitals or capitalised words only that says nothing."""
-    if not t[:1].isalpha() or flat:
-        return "f" if flat else ""
-    return "l" if t.islower() else ("U" if len(t) > 1 else "I") if t.isupper() else "C" if t[0].isupper() and t[1:].islower() else "M"
+    if not t[:1].isalpha():
+        return ""
+    return "f" if flat else "l" if t.islower() else ("U" if len(t) > 1 else "I") if t.isupper() else "C" if t[0].isupper() and t[1:].islower() else "M"
 
 
 @lru_cache(maxsize=100_000)
