@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from tracewright.llm import abuse
+from tests.llm.abuse_sentences import SENTENCES
+from tracewright.llm import abuse, abuse_table
+from tracewright.llm.pii import Words
 
 
 @pytest.mark.parametrize(("text", "word"), [("1d10t", "idiot"), ("i d i o t", "idiot"), ("Volli d i o t", "vollidiot"), ("id​iot", "idiot"), ("іdiоt", "idiot"), ("idiiiiot", "idiot"), ("l*ser", "loser"), ("m*r*n", "moron"), ("5tfu", "stfu"), ("p.a.t.h.e.t.i.c", "pathetic")])
@@ -30,13 +32,44 @@ def test_boosting_learns_an_interaction():
     assert ((m.raw(x[400:]) > 0) == y[400:]).mean() > 0.95
 
 
-def test_held_out_accuracy(spark, sf):
+def rates(scores, labels):
+    got, want = scores >= abuse.THRESHOLD, np.array(labels) == 1
+    return (got & want).sum() / want.sum(), (got & want).sum() / got.sum()
+
+
+def extractor():
+    return abuse.Extractor(Words.load())
+
+
+def test_held_out_rows(spark, sf):
     messages, labels = abuse.training_rows(spark.read.parquet(f"{sf}/moderation_sample.parquet"))
     odd = np.arange(len(messages)) % 4 == 0
     m = abuse.fit([x for x, o in zip(messages, odd) if not o], [y for y, o in zip(labels, odd) if not o])
-    scores = m.score(abuse.Extractor().many([x for x, o in zip(messages, odd) if o]))
-    truth = np.array([y for y, o in zip(labels, odd) if o])
-    assert ((scores >= abuse.THRESHOLD) == truth).mean() > 0.93
+    recall, precision = rates(m.score(extractor().many([x for x, o in zip(messages, odd) if o])), [y for y, o in zip(labels, odd) if o])
+    assert recall > 0.9 and precision > 0.9
+
+
+def test_held_out_words(spark, sf):
+    """Half of the words of each list fill the rows of training, the other half those that are judged."""
+    sample = spark.read.parquet(f"{sf}/moderation_sample.parquet")
+    m = abuse.fit(*abuse.training_rows(sample, table=abuse_table.labelled_table(half=0)))
+    rows = abuse_table.labelled_table(78, 6, half=1)
+    recall, precision = rates(m.score(extractor().many([x for x, _ in rows])), [y for _, y in rows])
+    assert recall >= 0.83 and precision >= 0.9, (recall, precision)
+
+
+def test_held_out_rules():
+    """Rules of a quarter of the grammar, each of which says something of its own, are never shown. This is well below the
+    rates on new words or on new sentences of known forms, and is stated in the README."""
+    m = abuse.fit(*abuse.training_rows(None, table=abuse_table.labelled_table(part=1, inside=False)))
+    rows = abuse_table.labelled_table(79, 6, part=1)
+    recall, precision = rates(m.score(extractor().many([x for x, _ in rows])), [y for _, y in rows])
+    assert recall >= 0.6 and precision >= 0.65, (recall, precision)
+
+
+def test_sentences_written_first(model):
+    recall, precision = rates(model.score(extractor().many([m for m, _ in SENTENCES])), [y for _, y in SENTENCES])
+    assert recall >= 0.9 and precision >= 0.85, (recall, precision)
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +80,7 @@ def model(spark, sf):
 def test_cases_and_harmless_ones(model):
     bad = ["you are such an imbecile", "cool hat, kys", "all migrants are vermin, throw them out", "wanna have s e x irl? dm me", "i will find you and break your neck"]
     good = ["i killed the boss with one arrow", "this stupid lever is stuck", "please mute that player, rude language", "trash can by the door", "hello", "", "!!!", "x" * 100_000]
-    s = model.score(abuse.Extractor().many(bad + good))
+    s = model.score(extractor().many(bad + good))
     assert (s[: len(bad)] >= abuse.THRESHOLD).all() and (s[len(bad) :] < abuse.THRESHOLD).all()
 
 
@@ -64,7 +97,7 @@ def test_scores_flags_and_rates(spark, model):
 def test_labels(spark):
     rows = [(1, "a", "Abusive "), (2, "b", None), (3, "c", "none"), (4, None, "none"), (5, "d", "unheard"), (6, "a", "none"), (7, "a", "hateful")]
     df = spark.createDataFrame(rows, "sample_id long, message string, label string")
-    n = len(abuse.LABELLED)
+    n = len(abuse.labelled_table())
     m, y = abuse.training_rows(df)
     assert dict(zip(m[: len(m) - n], y)) == {"a": 1, "c": 0}
     assert len(abuse.training_rows(df, most=1)[0]) == n + 1 and len(abuse.training_rows(None)[0]) == n

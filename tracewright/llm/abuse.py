@@ -2,8 +2,9 @@
 
 A message is first read as its writer meant it: invisible characters go, look-alike letters, digits for letters,
 letters set apart, masked and stretched words become the words of the lists where these know them. Features are the
-densities of word lists, how close they stand to a second person, capitals, punctuation and disguise. The trees
-are fitted where the query is built, on at most MAX_LABELLED labelled rows; out-of-fold scores give the calibration.
+densities of lists of single words, how close they stand to a second person and to each other, names of unknown people,
+capitals, punctuation and disguise. The trees are fitted where the query is built, on at most MAX_LABELLED labelled
+rows and the rows of a built-in grammar; out-of-fold scores give the calibration.
 
 Cases: null messages have score null and aren't flagged; empty ones score like any text without hits; very long
 texts are read whole; repeated rows and ties get equal scores; null or unknown labels are left out of the fitting;
@@ -12,7 +13,7 @@ without labelled rows the built-in table alone is fitted; an empty table gives a
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,12 +25,13 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import spread
-from tracewright.llm.abuse_table import LABELLED, LEXICONS, SECOND
+from tracewright.llm.abuse_table import LEXICONS, SECOND, labelled_table
+from tracewright.llm.encode import TOKENIZERS
+from tracewright.llm.pii import Words
 
 MAX_LABELLED = 20_000  # labelled rows the trees are fitted on at most, the lowest ids first
 THRESHOLD = 0.5
-ROUNDS, DEPTH, RATE, BINS, FOLDS, LEAST_WEIGHT, SHRINK = 80, 3, 0.15, 24, 5, 1.0, 2.0
+ROUNDS, DEPTH, RATE, BINS, FOLDS, LEAST_WEIGHT, SHRINK = 120, 4, 0.15, 16, 4, 1.0, 2.0
 CASES = frozenset({"abusive", "hateful", "sexual"})
 
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
@@ -44,30 +46,41 @@ _MIXED = regex.compile(r"(?=.*\p{Latin})(?=.*[\p{Cyrillic}\p{Greek}\p{Armenian}]
 _STRETCH = regex.compile(r"(.)\1{2,}")
 _NAME = regex.compile(r"(?i)^(?:\p{L}+_\p{L}+_?\d*|x\p{L}{4,}x\d+|\p{L}{4,}\d{2,})$")
 _CAMEL = regex.compile(r"^(?:\p{Lu}\p{Ll}+){2,}\d*$")
+_CUT = regex.compile(r"\p{L}\p{Cf}+\p{L}")
 _LETTER, _CAPITAL, _MARK = regex.compile(r"\p{L}"), regex.compile(r"\p{Lu}"), regex.compile(r"[^\p{L}\p{N}\s]")
 NAME = "@name"
 
 
-def _phrases() -> dict[str, list[list[str]]]:
-    out = {}
-    for name, text in LEXICONS.items():
-        out[name] = []
-        for line in text.splitlines():
-            words, *phrases = line.split("|")
-            out[name] += [[w] for w in words.split()] + [p.split() for p in phrases if p.strip()]
-    return out
-
-
-PHRASES = _phrases()
-VOCABULARY = frozenset(w for ps in PHRASES.values() for p in ps for w in p if "?" not in w) | frozenset(SECOND)
-_BY_HARM = list(dict.fromkeys(w for ps in PHRASES.values() for p in ps for w in p if len(w) > 2))  # harmful lists come first
-HARMFUL = frozenset(p[0] for c in ("insult", "demean", "silence", "death", "dehumanise", "exterminate", "sex", "swear") for p in PHRASES[c] if len(p) == 1)
 CATEGORIES = tuple(LEXICONS)
+_OF: dict[str, tuple[int, ...]] = {}
+for _k, _c in enumerate(CATEGORIES):
+    for _w in LEXICONS[_c].split():
+        if _k not in _OF.get(_w, ()):
+            _OF[_w] = (*_OF.get(_w, ()), _k)
 _SECOND = frozenset(SECOND)
+VOCABULARY = frozenset(_OF) | _SECOND
+HARMFUL = frozenset(w for c in ("insult", "bad", "hush", "self", "vermin", "sex", "body", "swear") for w in LEXICONS[c].split())
+_BY_HARM = [*dict.fromkeys(w for c in LEXICONS for w in LEXICONS[c].split() if len(w) > 2 and w in HARMFUL), *sorted(w for w in VOCABULARY if len(w) > 2 and w not in HARMFUL)]
+#: places of the words that no list holds: second persons, player names, and words that no vocabulary knows (names of people)
+YOU, PLAYER, STRANGE = len(CATEGORIES), len(CATEGORIES) + 1, len(CATEGORIES) + 2
+_PLACES = (*CATEGORIES, "you", "player", "strange")
+#: which words ahead of which others are told how near they stand
+PAIRS = tuple((_PLACES.index(a), _PLACES.index(b)) for a, b in (p.split(">") for p in """you>insult you>bad bad>insult hush>insult insult>you hush>you you>waste bad>waste never>love love>you never>you hate>you hate>group hate>strange every>insult
+ die>you you>die self>you harm>own die>own you>own harm>group harm>strange own>group own>strange hope>die hope>harm hope>you kin>die you>kin kin>bad harm>you harm>limb harm>kin me>harm menace>weapon menace>you you>menace brain>you you>brain kin>brain
+ every>group every>strange group>vermin strange>vermin vermin>group group>bad strange>bad group>crime strange>crime crime>group remove>group group>remove remove>strange strange>remove never>group never>strange hope>remove group>die strange>die die>strange violence>group violence>strange
+ ask>sex ask>body you>body sex>body desire>body desire>you you>desire sex>you me>sex me>desire girl>sex sex>girl ask>girl ask>you
+ insult>report report>insult report>bad bad>things bad>creature bad>play swear>things swear>play violence>creature violence>things violence>play me>bad you>nice body>play desire>things remove>things group>nice group>rights strange>rights rights>group never>rights rights>strange gone>group group>gone gone>strange strange>gone gone>rights intimate>ask ask>intimate desire>intimate intimate>you me>intimate you>gone things>gone gone>things gone>play every>things every>play remove>play desire>creature""".split()))
 FEATURES = (
-    *(f"n_{c}" for c in CATEGORIES), *(f"d_{c}" for c in CATEGORIES), *(f"you_{c}" for c in CATEGORIES),
-    "second", "names", "capitals", "punctuation", "disguise", "tokens", "group_and_harm", "sex_and_ask", "harm_and_you",
+    *(f"n_{c}" for c in _PLACES), *(f"d_{c}" for c in CATEGORIES), *(f"you_{c}" for c in CATEGORIES), *(f"{_PLACES[a]}>{_PLACES[b]}" for a, b in PAIRS),
+    "capitals", "punctuation", "disguise", "tokens", "kinds_of_harm",
 )
+_PLACES_OF = {w: (*_OF.get(w, ()), *((YOU,) if w in _SECOND else ())) for w in VOCABULARY}
+_DENSITY = len(_PLACES)
+_YOU_NEAR = _DENSITY + len(CATEGORIES)
+_PAIRS_FROM: dict[int, list[tuple[int, int]]] = {}
+for _k, (_a, _b) in enumerate(PAIRS):
+    _PAIRS_FROM.setdefault(_a, []).append((_b, _YOU_NEAR + len(CATEGORIES) + _k))
+_REST = _YOU_NEAR + len(CATEGORIES) + len(PAIRS)
 
 
 class Reader:
@@ -115,18 +128,21 @@ class Reader:
                 continue
             yield base, hidden
             parts = _STRETCH.split(base)
-            runs = parts[1::2]
-            if runs:
-                for pick in itertools.product((2, 1), repeat=min(len(runs), 4)):
-                    pick = (*pick, *[1] * (len(runs) - len(pick)))
+            if len(parts) > 1:
+                runs = parts[1::2]
+                # all stretches single, all double, then each one alone double: linear in the stretches, however many
+                picks = [[1] * len(runs), [2] * len(runs), *([1 + (k == n) for k in range(len(runs))] for n in range(len(runs)))]
+                for pick in picks:
                     yield "".join(p if k % 2 == 0 else p * pick[k // 2] for k, p in enumerate(parts)), True
         if bare.startswith("ky") and leet.startswith("kys"):
             yield "kys", True
 
     def tokens(self, message: str) -> tuple[list[str], int]:
-        text = unicodedata.normalize("NFKC", message)
-        shown = _HIDDEN.sub("", text)
-        disguised = int(any(c.isalpha() for c in text) and regex.search(r"\p{L}\p{Cf}+\p{L}", text) is not None)
+        if message.isascii():
+            shown, disguised = message, 0
+        else:
+            text = unicodedata.normalize("NFKC", message)
+            shown, disguised = _HIDDEN.sub("", text), int(_CUT.search(text) is not None)
         joined, count = _APART.subn(lambda m: self._together(m[0]), shown)
         out = []
         for raw in _TOKEN.findall(joined):
@@ -171,90 +187,81 @@ class Reader:
         return spaced
 
 
-class Matcher:
-    """Finds the phrases of all lists in a list of tokens."""
-
-    def __init__(self) -> None:
-        self.first: dict[str, list[tuple[int, list[str]]]] = {}
-        self.open: list[tuple[int, list[str]]] = []
-        for k, c in enumerate(CATEGORIES):
-            for p in PHRASES[c]:
-                if p[0].startswith("?"):
-                    self.open.append((k, p))
-                else:
-                    self.first.setdefault(p[0], []).append((k, p))
-        self.after: dict[str, list[tuple[int, list[str]]]] = {}
-        for k, p in self.open:  # one free word ahead of a known one
-            self.after.setdefault(p[1], []).append((k, p))
-
-    @staticmethod
-    def _fits(tokens: list[str], at: int, rest: list[str]) -> bool:
-        if not rest:
-            return True
-        if rest[0] == "?":
-            return at < len(tokens) and Matcher._fits(tokens, at + 1, rest[1:])
-        if rest[0] == "??":
-            return any(Matcher._fits(tokens, at + k, rest[1:]) for k in range(4) if at + k <= len(tokens))
-        return at < len(tokens) and tokens[at] == rest[0] and Matcher._fits(tokens, at + 1, rest[1:])
-
-    def hits(self, tokens: list[str]) -> list[tuple[int, int]]:
-        """Category and token position; a category counts once for each position."""
-        out = set()
-        for i, t in enumerate(tokens):
-            for k, p in self.first.get(t, ()):
-                if self._fits(tokens, i + 1, p[1:]):
-                    out.add((k, i))
-            if i:
-                for k, p in self.after.get(t, ()):
-                    if tokens[i - 1].isalpha() and self._fits(tokens, i + 1, p[2:]):
-                        out.add((k, i - 1))
-        return sorted(out)
-
-
-_GROUPS = [CATEGORIES.index(c) for c in ("group",)]
-_HARM_GROUP = [CATEGORIES.index(c) for c in ("dehumanise", "exterminate", "exclude")]
-_HARM_YOU = [CATEGORIES.index(c) for c in ("insult", "demean", "silence", "death", "threat")]
-_SEX = [CATEGORIES.index(c) for c in ("sex", "desire")]
-_ASK = CATEGORIES.index("ask")
+_HARM = [CATEGORIES.index(c) for c in ("insult", "bad", "hush", "self", "vermin", "sex", "remove", "body")]
 
 
 class Extractor:
-    def __init__(self) -> None:
-        self.reader, self.matcher = Reader(), Matcher()
+    def __init__(self, words: Words) -> None:
+        self.reader, self.words = Reader(), words
+        self.strange: dict[str, bool] = {}
+
+    def is_strange(self, t: str) -> bool:
+        known = self.strange.get(t)
+        if known is None:
+            if len(self.strange) > 200_000:
+                self.strange.clear()
+            known = self.strange[t] = len(t) > 3 and t.isalpha() and t not in VOCABULARY and self.words.kind(t) in "no" and (self.words.kind(t[:-1]) in "no" if t.endswith("s") else True)
+        return known
 
     def one(self, message: str) -> list[float]:
         tokens, disguised = self.reader.tokens(message)
         words = [t for t in tokens if t[0] not in "!?.,;"]
         n = max(1, len(words))
-        hits = self.matcher.hits(words)
-        count = [0] * len(CATEGORIES)
-        near = [99] * len(CATEGORIES)
-        persons = [i for i, t in enumerate(words) if t in _SECOND or t == NAME]
-        for k, i in hits:
-            count[k] += 1
-            if persons:
-                near[k] = min(near[k], min(abs(i - j) for j in persons))
-        letters, marks = len(_LETTER.findall(message)), len(_MARK.findall(message))
-        harm_you, sex = sum(count[k] for k in _HARM_YOU), sum(count[k] for k in _SEX)
-        return [
-            *(min(c, 3) for c in count),
-            *(c / n for c in count),
-            *(1 / (1 + d) if d < 9 else 0.0 for d in near),
-            min(sum(t in _SECOND for t in words), 3),
-            min(words.count(NAME), 2),
-            len(_CAPITAL.findall(message)) / max(1, letters),
-            marks / max(1, len(message)),
+        at: dict[int, list[int]] = {}
+        for i, t in enumerate(words):
+            for k in _PLACES_OF.get(t) or ((PLAYER,) if t == NAME else (STRANGE,) if self.is_strange(t) else ()):
+                at.setdefault(k, []).append(i)
+        persons = sorted(at.get(YOU, []) + at.get(PLAYER, []))
+        out = [0.0] * len(FEATURES)
+        for k, places in at.items():
+            out[k] = math.log1p(len(places))
+            if k < YOU:
+                out[_DENSITY + k] = len(places) / n
+                if persons:
+                    out[_YOU_NEAR + k] = _near(places, persons)
+            for b, feature in _PAIRS_FROM.get(k, ()):
+                if b in at:
+                    out[feature] = _ahead(places, at[b])
+        out[_REST:] = [
+            len(_CAPITAL.findall(message)) / max(1, len(_LETTER.findall(message))),
+            len(_MARK.findall(message)) / max(1, len(message)),
             disguised / n,
-            min(n, 40),
-            float(sum(count[k] for k in _HARM_GROUP) * (1 + 2 * min(1, sum(count[k] for k in _GROUPS)))),
-            float(sex * (1 + 2 * min(1, count[_ASK]))),
-            float(harm_you * (1 + 2 * bool(persons))),
+            math.log1p(n),
+            float(sum(k in at for k in _HARM)),
         ]
+        return out
 
     def many(self, messages: list[str]) -> np.ndarray:
         return np.array([self.one(m) for m in messages], dtype=np.float32).reshape(len(messages), len(FEATURES))
 
 
+def _near(a: list[int], b: list[int]) -> float:
+    """1 over one more than the least distance of two sorted lists of places."""
+    i = j = 0
+    best = None
+    while i < len(a) and j < len(b):
+        d = abs(a[i] - b[j])
+        best = d if best is None or d < best else best
+        if a[i] < b[j]:
+            i += 1
+        else:
+            j += 1
+    return 1 / (1 + best)
+
+
+def _ahead(a: list[int], b: list[int]) -> float:
+    """1 over the least distance of a place of a before one of b, 0 without one."""
+    best, j = None, 0
+    for i in a:
+        while j < len(b) and b[j] <= i:
+            j += 1
+        if j == len(b):
+            break
+        d = b[j] - i
+        best = d if best is None or d < best else best
+    return 0.0 if best is None else 1 / best
+
+
 @dataclass
 class Trees:
     """Boosted trees of equal depth: feature and cut of each inner node, value of each leaf; and the calibration."""
@@ -281,12 +288,18 @@ class Trees:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Logistic boosting with histograms; every tree is complete, a node that isn't worth a split sends all rows left."""
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(x.shape[1])]
+    """Logistic boosting with histograms; every tree is complete, a node that isn't worth a split sends all rows left.
+
+    Most features of most rows are in their first bin, so histograms are counted over the other entries only, for all
+    nodes of a level at once; what is missing to the sum of a node is in the first bins.
+    """
+    wide = x.shape[1]
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for j in range(wide)]
     cuts = [c if len(u := np.unique(x[:, j])) > BINS else u[:-1] for j, c in enumerate(cuts)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     size = max(len(c) for c in cuts) + 1
-    column = binned + np.arange(x.shape[1]) * size
+    row, column = np.nonzero(binned)
+    code = column * size + binned[row, column]
     p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
     base = float(np.log(p0 / (1 - p0)))
     total = np.full(len(y), base)
@@ -297,20 +310,25 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
         g, h = y - p, p * (1 - p)
         f, c = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(y), np.int64)
-        for k in range(inner):
-            here = np.flatnonzero(node == k)
-            if len(here) > 1:
-                cols = column[here].ravel()
-                wide = x.shape[1]
-                gs = np.bincount(cols, np.repeat(g[here], wide), minlength=wide * size).reshape(wide, size).cumsum(axis=1)
-                hs = np.bincount(cols, np.repeat(h[here], wide), minlength=wide * size).reshape(wide, size).cumsum(axis=1)
-                gt, ht = gs[:, -1:], hs[:, -1:]
-                gain = gs**2 / (hs + SHRINK) + (gt - gs) ** 2 / (ht - hs + SHRINK) - gt**2 / (ht + SHRINK)
-                gain[(hs < LEAST_WEIGHT) | (ht - hs < LEAST_WEIGHT)] = 0
-                j, b = np.unravel_index(np.argmax(gain), gain.shape)
-                if gain[j, b] > 1e-3 and b < len(cuts[j]):
-                    f[k], c[k] = j, cuts[j][b]
-            node[here] = 2 * k + 1 + (x[here, f[k]] > c[k])
+        for level in range(DEPTH):
+            first, many = 2**level - 1, 2**level
+            local = node - first
+            at = local[row] * (wide * size) + code
+            sums = []
+            for v in (g, h):
+                hist = np.bincount(at, v[row], minlength=many * wide * size).reshape(many, wide, size)
+                whole = np.bincount(local, v, minlength=many)[:, None]
+                hist[:, :, 0] = whole - hist.sum(axis=2)
+                sums.append((hist.cumsum(axis=2), whole[:, :, None]))
+            (gs, gt), (hs, ht) = sums
+            gain = gs**2 / (hs + SHRINK) + (gt - gs) ** 2 / (ht - hs + SHRINK) - gt**2 / (ht + SHRINK)
+            gain[(hs < LEAST_WEIGHT) | (ht - hs < LEAST_WEIGHT)] = 0
+            best = gain.reshape(many, -1).argmax(axis=1)
+            for k in range(many):
+                j, b = divmod(int(best[k]), size)
+                if gain[k, j, b] > 1e-3 and b < len(cuts[j]):
+                    f[first + k], c[first + k] = j, cuts[j][b]
+            node = 2 * node + 1 + (x[np.arange(len(y)), f[node]] > c[node])
         at = node - inner
         leaf = np.bincount(at, g, minlength=inner + 1) / (np.bincount(at, h, minlength=inner + 1) + SHRINK) * RATE
         total += leaf[at]
@@ -320,6 +338,12 @@ def boost(x: np.ndarray, y: np.ndarray) -> Trees:
     return Trees(np.array(features), np.array(values), np.array(leaves), base, np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
 
 
+def mean_of(parts: list[Trees]) -> Trees:
+    """The mean of several models, as one of all their trees."""
+    join = lambda c: np.concatenate([getattr(p, c) for p in parts])
+    return Trees(join("feature"), join("cut"), join("leaf") / len(parts), float(np.mean([p.base for p in parts])), np.array([-1.0, 1.0]), np.array([0.0, 1.0]))
+
+
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: knots and levels of a rising curve, one knot in the middle of each pool."""
     order = np.argsort(raw, kind="stable")
@@ -332,44 +356,49 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for _, n, s in pools]), np.array([a / n for a, n, _ in pools])
 
 
-def beside_harmless(messages: list[str], labels: list[int], seed: int = 5) -> tuple[list[str], list[int]]:
-    """The rows, and each once more beside a harmless one, which doesn't change its label."""
+def beside_harmless(messages: list[str], labels: list[int], copies: int = 2, seed: int = 5) -> tuple[list[str], list[int]]:
+    """The rows, and each ``copies`` times more beside a harmless one, which doesn't change its label."""
     rng = np.random.default_rng(seed)
     harmless = [m for m, y in zip(messages, labels) if not y]
     if not harmless:
-        return messages, labels
-    other = [harmless[k] for k in rng.integers(len(harmless), size=len(messages))]
-    both = [f"{o}, {m}" if first else f"{m}. {o}" for m, o, first in zip(messages, other, rng.random(len(messages)) < 0.6)]
-    return messages + both, labels + labels
+        return messages * (1 + copies), labels * (1 + copies)
+    out = list(messages)
+    for _ in range(copies):
+        other = [harmless[k] for k in rng.integers(len(harmless), size=len(messages))]
+        out += [f"{o}, {m}" if first else f"{m}. {o}" for m, o, first in zip(messages, other, rng.random(len(messages)) < 0.6)]
+    return out, labels * (1 + copies)
 
 
-def fit(messages: list[str], labels: list[int]) -> Trees:
+def fit(messages: list[str], labels: list[int], folder: str = TOKENIZERS) -> Trees:
     messages, labels = beside_harmless(messages, labels)
-    x, y = Extractor().many(messages), np.array(labels, dtype=np.float64)
-    rows = len(y) // 2 or 1
+    x, y = Extractor(Words.load(folder)).many(messages), np.array(labels, dtype=np.float64)
+    rows = max(1, len(y) // 3)
     fold = (np.random.default_rng(3).permutation(rows) % FOLDS)[np.arange(len(y)) % rows]  # a row and its copy stay in one fold
     out = np.zeros(len(y))
+    parts = []
     for k in range(FOLDS):
-        out[fold == k] = boost(x[fold != k], y[fold != k]).raw(x[fold == k])
-    model = boost(x, y)
+        parts.append(boost(x[fold != k], y[fold != k]))
+        out[fold == k] = parts[-1].raw(x[fold == k])
+    model = mean_of(parts)
     model.knots, model.levels = isotonic(out, y)
     return model
 
 
-def training_rows(sample: DataFrame | None, message: str = "message", label: str = "label", id_col: str = "sample_id", most: int = MAX_LABELLED) -> tuple[list[str], list[int]]:
-    """The built-in table and at most ``most`` labelled rows; a message labelled both ways goes by the majority."""
+def training_rows(sample: DataFrame | None, message: str = "message", label: str = "label", id_col: str = "sample_id", most: int = MAX_LABELLED, table: list[tuple[str, int]] | None = None) -> tuple[list[str], list[int]]:
+    """At most ``most`` labelled rows, then the built-in table; a message labelled both ways goes by the majority."""
+    own = labelled_table() if table is None else table
     votes: dict[str, Counter] = {}
     if sample is not None:
         rows = sample.select(F.col(id_col).alias("i"), F.col(message).alias("m"), F.lower(F.trim(F.col(label))).alias("l")).where(F.col("m").isNotNull() & F.col("l").isin("none", *CASES))
         for r in rows.orderBy("i").limit(most).collect():
             votes.setdefault(r.m, Counter())[int(r.l in CASES)] += 1
     kept = [(m, int(v[1] > v[0])) for m, v in votes.items()]
-    return [m for m, _ in kept] + [m for m, _ in LABELLED], [y for _, y in kept] + [y for _, y in LABELLED]
+    return [m for m, _ in kept] + [m for m, _ in own], [y for _, y in kept] + [y for _, y in own]
 
 
-def _scorer(model: Trees):
+def _scorer(model: Trees, words: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract, known = Extractor(), {}
+        extract, known = Extractor(words), {}
         for batch in batches:
             messages = batch.column(batch.num_columns - 1).to_pylist()
             if len(known) > 100_000:
@@ -383,11 +412,11 @@ def _scorer(model: Trees):
     return run
 
 
-def scored(log: DataFrame, model: Trees, id_col: str = "id", source: str = "wid", message: str = "message") -> DataFrame:
+def scored(log: DataFrame, model: Trees, id_col: str = "id", source: str = "wid", message: str = "message", folder: str = TOKENIZERS) -> DataFrame:
     """chat_id, source and score of every delivered row; a score is a calibrated probability."""
     rows = log.select(F.col(id_col).cast("long").alias("chat_id"), F.col(source).alias("source"), F.col(message).alias("message"))
     kind = rows.schema["source"].dataType.simpleString()
-    return spread(rows).mapInArrow(_scorer(model), f"chat_id bigint, source {kind}, score double")
+    return rows.mapInArrow(_scorer(model, Words.load(folder)), f"chat_id bigint, source {kind}, score double")
 
 
 def flagged(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -381,13 +381,15 @@ class _Filler:
         }[slot]()
 
 
-_CHOICE = re.compile(r"\[\[|\]\]|\[([^\[\]]*)\]")
+_CHOICE = re.compile(r"\[([^\[\]]*)\]")
 _SLOT = re.compile(r"\{([a-zA-Z_0-9]+)\}")
 
 
 def expand(rule: str, r: random.Random) -> str:
-    """One choice of all alternatives of a rule; [[ and ]] stand for brackets."""
-    text = _CHOICE.sub(lambda m: {"[[": "\x01", "]]": "\x02"}.get(m[0]) or r.choice(m[1].split("|")), rule)
+    """One choice of all alternatives of a rule, inner ones first; [[ and ]] stand for brackets."""
+    text = rule.replace("[[", "\x01").replace("]]", "\x02")
+    while _CHOICE.search(text):
+        text = _CHOICE.sub(lambda m: r.choice(m[1].split("|")), text)
     return " ".join(text.replace("\x01", "[").replace("\x02", "]").split())
 
 
