@@ -52,7 +52,12 @@ def test_fold():
     assert runs.fold("h o r s e")[0] == "horse"
 
 
-def replay(rows, gap=600):
+def near(a, b, most=2):
+    """The rule of the problem, stated by itself."""
+    return a[0] == b[0] or (max(a[1], b[1]) >= 12 and levenshtein(a[0], b[0]) <= most)
+
+
+def replay(rows, gap=600, near=near):
     out, run, prev = set(), [], None
 
     def flush():
@@ -61,7 +66,7 @@ def replay(rows, gap=600):
 
     for u, t, i, m in sorted({(u, t, i, m) for i, t, u, m in rows if None not in (i, t, u, m)}):
         f = runs.fold(m)
-        if prev and prev[0] == u and t - prev[1] <= gap and np.isfinite(runs.link_cost(prev[2], f)):
+        if prev and prev[0] == u and t - prev[1] <= gap and near(prev[2], f):
             run.append(i)
         else:
             flush()
@@ -101,3 +106,27 @@ def test_a_run_over_many_buckets(spark):
     df = spark.createDataFrame([(100 - k, k * 500, 1, "the same words again") for k in range(60)], "id long, time long, user_id int, message string")
     (row,) = runs.collapse_runs(df).collect()
     assert (row.run_id, row.first_time, row.n, row.duration) == (41, 0, 60, 59 * 500)
+
+
+def test_the_program_cuts_where_the_rule_would_join(spark):
+    """With a smaller penalty two mistyped characters cost more than another run, one costs less; also over bucket edges."""
+    texts = ["good morning everyone", "good mornin everyone", "good mornin evryne", "good mornin evryne", "god mornin evryne"]
+    for step in (10, 550):
+        df = spark.createDataFrame([(k, 1000 + k * step, 1, m) for k, m in enumerate(texts)], "id long, time long, user_id int, message string")
+        for size in (700, 10**6):
+            assert [r.n for r in runs.collapse_runs(df, bucket_seconds=size).collect()] == [5]
+            assert sorted(r.n for r in runs.collapse_runs(df, bucket_seconds=size, penalty=0.4).collect()) == [2, 3]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("penalty, most", [(1.0, 2), (0.4, 1), (0.1, 0)])
+def test_penalties_equal_replay(spark, seed, penalty, most):
+    r = random.Random(seed)
+    texts = ["hello there everyone", "hello there everyon", "helo thre everyone", "hello there evryne", "ok"]
+    rows, t = [], 0
+    for k in range(400):
+        t += r.choice([0, 1, 300, 600, 601])
+        rows.append((k, t, r.choice([7, 8]), r.choice(texts)))
+    df = spark.createDataFrame(rows, "id long, time long, user_id int, message string")
+    got = {(x.run_id, x.id) for x in runs.run_members(df, penalty=penalty).collect() if x.id != x.run_id}
+    assert got == replay(rows, near=lambda a, b: near(a, b, most))

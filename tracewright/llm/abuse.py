@@ -17,6 +17,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -370,7 +371,13 @@ def beside_harmless(messages: list[str], labels: list[int], copies: int = 2, see
 
 
 def fit(messages: list[str], labels: list[int], folder: str = TOKENIZERS) -> Trees:
-    messages, labels = beside_harmless(messages, labels)
+    """The calibrated model of labelled rows; the last ones are kept, as several queries score with the same rows."""
+    return _fitted(tuple(messages), tuple(labels), folder)
+
+
+@lru_cache(maxsize=4)
+def _fitted(messages: tuple[str, ...], labels: tuple[int, ...], folder: str) -> Trees:
+    messages, labels = beside_harmless(list(messages), list(labels))
     x, y = Extractor(Words.load(folder)).many(messages), np.array(labels, dtype=np.float64)
     rows = max(1, len(y) // 3)
     fold = (np.random.default_rng(3).permutation(rows) % FOLDS)[np.arange(len(y)) % rows]  # a row and its copy stay in one fold

@@ -1,14 +1,16 @@
 """Runs of equal or nearly equal consecutive messages, by optimal segmentation.
 
 Per user, messages in order of (time, id) are cut into runs. A segmentation costs a penalty for every run plus the
-dissimilarity of the neighbours inside runs: 0 for messages that are the same after folding, EDIT_COST for each of
-at most two mistyped characters in messages of a dozen characters or more, infinite otherwise or beyond the largest
-pause. The cheapest segmentation is found by pruned dynamic programming: after each message, the run starts which
-cannot be part of a better solution any more are dropped. As a link of finite cost is always cheaper than another
-run (2 * EDIT_COST < PENALTY), the optimum keeps all such neighbours together, which is what makes it exact here.
+dissimilarity of the neighbours inside runs. Dissimilarity is graded: 0 for messages that are the same after folding,
+EDIT_COST for each of at most two mistyped characters in messages of a dozen characters or more; 1 and the changed
+share of the text for other messages, 1 and the pause in units of the largest one beyond that. The cheapest
+segmentation is found by pruned dynamic programming over all messages: after each one, the run starts which cannot be
+part of a better solution any more are dropped, so that few stay open. With the penalty of 1 it cuts just where two
+neighbours are neither the same nor nearly so, which is what the problem asks for; a smaller penalty asks for more likeness.
 
-A user with a third of all messages is worked off in (user, time bucket) groups; only the pieces at the edges of
-buckets meet per user, at most two a bucket, and are stitched there under the same rule.
+A user with a third of all messages is worked off in (user, time bucket) groups. As the cost is a sum over neighbours,
+the optimum of a bucket doesn't depend on what lies outside; the pieces at the edges of buckets, at most two a bucket,
+meet per user and are segmented once more by the same program, with the dissimilarities over the edges.
 
 Cases: rows without user, time, id or message are left out; re-delivered rows count once; ties in time are ordered by
 id; empty messages (and those of symbols only) are equal to each other; very long texts are compared whole; empty
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import unicodedata
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.frames import bucket, whole_groups
@@ -64,17 +66,18 @@ def edits(a: str, b: str, most: int = MAX_EDITS) -> int:
     return 1 + min(edits(a[1:], b[1:], most - 1), edits(a[1:], b, most - 1), edits(a, b[1:], most - 1))
 
 
-def link_cost(a: tuple[str, int], b: tuple[str, int]) -> float:
+def dissimilarity(a: tuple[str, int], b: tuple[str, int], pause: int, max_gap: int) -> float:
+    """Of two neighbours, from their folded texts and the pause between them; below 1 where they may belong together."""
+    if pause > max_gap:
+        return 1 + pause / max(1, max_gap)
     if a[0] == b[0]:
         return 0.0
-    if max(a[1], b[1]) < LONG:
-        return np.inf
-    n = edits(a[0], b[0])
-    return n * EDIT_COST if n <= MAX_EDITS else np.inf
+    n, size = edits(a[0], b[0]), max(a[1], b[1])
+    return n * EDIT_COST if n <= MAX_EDITS and size >= LONG else 1 + min(1.0, n / max(1, size))
 
 
 def segment(links: list[float], penalty: float = PENALTY) -> list[int]:
-    """Starts of the runs of the cheapest segmentation of len(links) + 1 events; links[k] joins k and k + 1."""
+    """Starts of the runs of the cheapest segmentation of len(links) + 1 events; links[k] is the dissimilarity of k and k + 1."""
     never = penalty * (len(links) + 2)  # dearer than cutting everywhere
     total = [0.0]
     for c in links:
@@ -93,7 +96,14 @@ def segment(links: list[float], penalty: float = PENALTY) -> list[int]:
     return out[::-1]
 
 
-def _pieces(max_gap: int, keep_single: bool):
+_PIECES = "u bigint, seg bigint, b bigint, first bigint, last bigint, low bigint, ids array<bigint>, f_text string, f_len int, l_text string, l_len int"
+_EDGE = -(1 << 62)  # seg of pieces that may go on in a neighbour bucket
+_RUNS = "u bigint, run_id bigint, n bigint, first bigint, last bigint, ids array<bigint>"
+
+
+def _pieces(max_gap: int, keep_single: bool, penalty: float):
+    """Runs within (user, bucket) groups; those at a group's ends are pieces that may go on beyond it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[str, int]] = {}
         for t in whole_groups(batches, ["u", "b"]):
@@ -111,21 +121,15 @@ def _pieces(max_gap: int, keep_single: bool):
                         seen.clear()
                     f = seen[m] = fold(m)
                 folded.append(f)
-            group = np.zeros(len(u), dtype=bool)
-            group[0:1] = True
+            group = np.ones(len(u), dtype=bool)
             group[1:] = (u[1:] != u[:-1]) | (b[1:] != b[:-1])
-            near = ~group
-            near[1:] &= time[1:] - time[:-1] <= max_gap
-            cost = np.full(len(u), np.inf)
-            for k in np.flatnonzero(near):
-                cost[k] = link_cost(folded[k - 1], folded[k])
-            start = np.ones(len(u), dtype=bool)
-            joined = np.isfinite(cost)
-            first = np.flatnonzero(joined & ~np.concatenate([[False], joined[:-1]]))
-            last = np.flatnonzero(joined & ~np.concatenate([joined[1:], [False]]))
-            for f, e in zip(first, last):
-                start[f : e + 1] = False
-                start[f - 1 + np.array(segment(cost[f : e + 1].tolist()))] = True
+            bounds = [*np.flatnonzero(group).tolist(), len(u)]
+            pause = np.diff(time, prepend=time[:1]).tolist()
+            start = np.zeros(len(u), dtype=bool)
+            for f, e in zip(bounds, bounds[1:]):
+                start[f] = True
+                if e - f > 1:
+                    start[[f + k for k in segment([dissimilarity(folded[k - 1], folded[k], pause[k], max_gap) for k in range(f + 1, e)], penalty)]] = True
             s = np.flatnonzero(start)
             e = np.concatenate([s[1:], [len(u)]]) - 1
             head, tail = group[s], np.concatenate([group[s][1:], [True]])
@@ -135,7 +139,7 @@ def _pieces(max_gap: int, keep_single: bool):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(u[s]),
-                    pa.array(b[s], mask=edge),
+                    pa.array(np.where(edge, _EDGE, b[s])),
                     pa.array(b[s]),
                     pa.array(time[s]),
                     pa.array(time[e]),
@@ -152,35 +156,64 @@ def _pieces(max_gap: int, keep_single: bool):
     return run
 
 
-def _stitched(chat: DataFrame, user: str, time: str, id_col: str, message: str, max_gap: int, bucket_seconds: int, keep_single: bool) -> DataFrame:
+def _joined(max_gap: int, keep_single: bool, penalty: float):
+    """Segments each user's edge pieces; all others are runs already."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["u", "seg"]):
+            u, seg, b, first, last, low = (t.column(k).to_numpy() for k in ("u", "seg", "b", "first", "last", "low"))
+            n = len(u)
+            start = np.ones(n, dtype=bool)
+            edges = np.flatnonzero(seg == _EDGE)
+            if len(edges):
+                heads = list(zip(t.column("f_text").to_pylist(), t.column("f_len").to_pylist()))
+                tails = list(zip(t.column("l_text").to_pylist(), t.column("l_len").to_pylist()))
+                turn = np.flatnonzero((np.diff(edges, prepend=-2) > 1) | (np.diff(u[edges], prepend=u[edges[0]] - 1) != 0))
+                for f, e in zip(turn, [*turn[1:], len(edges)]):
+                    f, e = int(edges[f]), int(edges[e - 1]) + 1
+                    # two pieces of one bucket were parted there
+                    costs = [np.inf if b[k] == b[k - 1] else dissimilarity(tails[k - 1], heads[k], int(first[k] - last[k - 1]), max_gap) for k in range(f + 1, e)]
+                    start[f:e] = False
+                    start[[f + k for k in segment(costs, penalty)]] = True
+            s = np.flatnonzero(start)
+            e = np.concatenate([s[1:], [n]]) - 1
+            ids = t.column("ids").combine_chunks()
+            at = ids.offsets.to_numpy()
+            size = at[e + 1] - at[s]
+            keep = (size > 1) | keep_single
+            s, e, size = s[keep], e[keep], size[keep]
+            flat = ids.values.to_numpy()
+            starts = np.concatenate([[0], np.cumsum(size)])
+            where = np.repeat(at[s] - starts[:-1], size) + np.arange(starts[-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(u[s]),
+                    pa.array(np.array([low[x : y + 1].min() for x, y in zip(s, e)], np.int64)),
+                    pa.array(size.astype(np.int64)),
+                    pa.array(first[s]),
+                    pa.array(last[e]),
+                    pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat[where])),
+                ],
+                names=["u", "run_id", "n", "first", "last", "ids"],
+            )
+
+    return run
+
+
+def _runs(chat: DataFrame, user: str, time: str, id_col: str, message: str, max_gap: int, bucket_seconds: int, keep_single: bool, penalty: float) -> DataFrame:
     rows = chat.select(F.col(user).cast("long").alias("u"), F.col(time).cast("long").alias("t"), F.col(id_col).cast("long").alias("i"), F.col(message).alias("m")).dropna()
     rows = rows.withColumn("b", bucket(F.col("t"), bucket_seconds)).repartition("u", "b").sortWithinPartitions("u", "b", "t", "i")
-    pieces = rows.mapInArrow(
-        _pieces(max_gap, keep_single),
-        "u bigint, seg bigint, b bigint, first bigint, last bigint, low bigint, ids array<bigint>, f_text string, f_len int, l_text string, l_len int",
-    )
-    w = Window.partitionBy("u", "seg").orderBy("b", "first", "low")
-    p = lambda c: F.lag(c).over(w)
-    same = (F.col("f_text") == p("l_text")) | (
-        (F.greatest("f_len", p("l_len")) >= LONG) & (F.levenshtein(F.col("f_text"), p("l_text"), MAX_EDITS).between(0, MAX_EDITS))
-    )
-    goes_on = F.col("seg").isNull() & (p("b") < F.col("b")) & (F.col("first") - p("last") <= max_gap) & same
-    chained = pieces.withColumn("fresh", F.when(goes_on, 0).otherwise(1)).withColumn("chain", F.sum("fresh").over(w))
-    whole = Window.partitionBy("u", "seg", "chain")
-    return chained.select(
-        "u", "first", "last", "ids", F.min("low").over(whole).alias("run_id"), F.sum(F.size("ids")).over(whole).alias("n"),
-        F.min("first").over(whole).alias("run_first"), F.max("last").over(whole).alias("run_last"),
-    )
-
-
-def run_members(chat: DataFrame, user: str = "user_id", time: str = "time", id_col: str = "id", message: str = "message", max_gap: int = 600, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    pieces = rows.mapInArrow(_pieces(max_gap, keep_single, penalty), _PIECES)
+    pieces = pieces.repartition("u", "seg").sortWithinPartitions("u", "seg", "b", "first", "low")
+    return pieces.mapInArrow(_joined(max_gap, keep_single, penalty), _RUNS)
+
+
+def run_members(chat: DataFrame, user: str = "user_id", time: str = "time", id_col: str = "id", message: str = "message", max_gap: int = 600, bucket_seconds: int = BUCKET_SECONDS, penalty: float = PENALTY) -> DataFrame:
     """run_id (smallest id of the run) and id of every message in a run of two or more."""
-    p = _stitched(chat, user, time, id_col, message, max_gap, bucket_seconds, False).where("n > 1")
-    return p.select("run_id", F.explode("ids").alias("id"))
+    return _runs(chat, user, time, id_col, message, max_gap, bucket_seconds, False, penalty).select("run_id", F.explode("ids").alias("id"))
 
 
-def collapse_runs(chat: DataFrame, user: str = "user_id", time: str = "time", id_col: str = "id", message: str = "message", max_gap: int = 600, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def collapse_runs(chat: DataFrame, user: str = "user_id", time: str = "time", id_col: str = "id", message: str = "message", max_gap: int = 600, bucket_seconds: int = BUCKET_SECONDS, penalty: float = PENALTY) -> DataFrame:
     """One row for each run, single messages included: user, run_id, first_time, n, duration."""
-    p = _stitched(chat, user, time, id_col, message, max_gap, bucket_seconds, True)
-    rows = p.groupBy("u", "run_id").agg(F.min("run_first").alias("first_time"), F.max("n").cast("long").alias("n"), F.max("run_last").alias("last_time"))
-    return rows.select(F.col("u").alias(user), "run_id", "first_time", "n", (F.col("last_time") - F.col("first_time")).alias("duration"))
+    rows = _runs(chat, user, time, id_col, message, max_gap, bucket_seconds, True, penalty)
+    return rows.select(F.col("u").alias(user), "run_id", F.col("first").alias("first_time"), "n", (F.col("last") - F.col("first")).alias("duration"))
