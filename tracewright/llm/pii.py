@@ -58,6 +58,7 @@ RUN_DIGITS = 5
 _words = lambda s: frozenset(s.split())
 _GIVEN = frozenset(pii_table.GIVEN)
 _LANDFORMS = frozenset(pii_table.LANDFORMS)
+_GAME = frozenset(pii_table.GAME)
 _CREATURES = frozenset(pii_table.CREATURES)
 _TALK = _words("msg tell w r reply whisper mail m ticket say helpop pm t me")
 _NUMBER_WORDS = _words("zero one two three four five six seven eight nine")
@@ -123,7 +124,7 @@ class Words:
             return "b"
         if low in _NUMBER_WORDS:
             return "w"
-        return "t" if low in _TITLES else self.common.get(low) or ("n" if low in self.names else "o")
+        return "t" if low in _TITLES else self.common.get(low) or ("v" if low in _GAME else "n" if low in self.names else "o")
 
 
 def _case(t: str, flat: bool) -> str:

@@ -60,6 +60,8 @@ _ADJECTIVE = "ancient amber bitter black blue bold bright broken bronze burning
 CREATURES = "archer basilisk bat bear beetle boar centipede crab crawler cyclops demon dragon drake eel elemental ent fiend gargoyle ghoul giant goblin golem gryphon harpy hound hydra imp king knight kraken lich lizard lurker mage manticore minotaur moth ogre phoenix prowler queen raider reaper revenant scorpion sentinel serpent shade shaman skeleton spider spirit sprite stalker titan toad troll viper warden warlock weaver wisp witch wolf wraith wyrm yeti zombie".split()
 LANDFORMS = "abbey alley arch archipelago atoll bank barrens basin bay beach bluff bog bridge brook canal canyon cape castle cathedral cave cavern chasm city cliff coast coves creek crossing dam delta desert docks dunes falls farm fen field fields fjord ford forest fort fortress garden gate geyser glacier glade glen gorge grotto grove gulf hall harbor harbour haven heath highlands hill hills hollow island isle jungle keep lagoon lair lake landing ledge lighthouse manor market marsh meadow mesa mill mine mines monastery moor mountain oasis orchard outpost palace pass path peak peaks pier pit plains plateau plaza point pond port prairie quarry rapids ravine reef ridge river rock ruins sanctuary sands sea shore shrine slope spire spring springs square station steppe summit swamp temple tower town tundra tunnel valley vault village volcano wall waterfall wharf wilds wood woods".split()
 _THING = "acorns anvils arrows axes bamboo banners barrels beacons beds bees beetroot berries boats bones books boots bottles bowls bread bricks buckets cakes candles carpets carrots chains chests clay coal cobble cocoa compass concrete cookies copper coral crops crystals diamonds doors drums dust dye eggs emeralds feathers fences fern fish flint flowers furnaces gems glass gold gravel gunpowder hay helmets hoes honey hooks horses ingots iron ivy kelp keys ladders lamps lanterns leather levers lilies logs looms maps melons minecarts moss mushrooms nails nuggets oak obsidian pans paper pearls pickaxes pies pipes planks plates potatoes potions pumpkins quartz rails rods ropes rope roses saddles sand saplings seeds shards shells shields shovels signs silk slabs slime snow spears sponges sticks stone string sugar swords tablets tiles tools torches tridents vines wands wax wheat wood wool".split()
+#: words of the game's world
+GAME = [*_ADJECTIVE, *_THING, *(t[:-1] for t in _THING if t.endswith("s")), *(f"{c}s" for c in CREATURES)]
 _BADGE = "Amulet Banner Blade Book Bow Charm Chest Chalice Compass Crown Cup Event Festival Gem Guild Hammer Horn Key Lantern League Map Mask Medal Mirror Orb Quest Race Relic Ring Rune Scroll Season Shard Shop Staff Stone Sword Throne Tome Tournament Trophy Update".split()
 _DID = "built broke burned bought carried caught cleared closed copied crafted dropped dug enchanted explored farmed filled fixed flooded found gave grew guarded hid killed lit lost mined moved opened painted placed planted raided repaired saved sold stacked stole swapped tamed took trapped used watered".split()
 _DO = "build break bring buy carry catch clear close copy craft drop dig enchant explore farm fill fix flood find grow guard hide kill light lose mine move open paint place plant raid repair save sell stack steal swap tame take trap use water".split()
@@ -245,6 +247,8 @@ my {idword} [reads|says|goes|was|=] {id}
 [le|la|un|une|mon|ton] {fr} de {fr} [est|était|reste] [loin|à {place}|ici|encore {fr}]
 [il|la|un|una] {es} di {es} [è|era] [qui|lontano|grande]
 [you|he|she|that guy|{player}|this admin] [are|is] [a|an|such a|no] [total|real|{rude}|silly|] {rude} [lol|again|and knows it|]
+[gg|wb|ty|ez|rip|lol|oi|bye|kys|gl] {player}[!| again|]
+[ask|look|wait|pay|apply|vote] for [{thing}|more {thing}|{beast}|{badge}][ at {place}|]
 [stop it|shut it|get lost|go away|quit] [you|ya|] {rude}
 [the] {Adj} {Badge} [is|was|,] [mine|overpriced|a myth|so rare|{n} coins]""",
 }
