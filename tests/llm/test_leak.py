@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from tracewright.llm import leak
@@ -19,18 +20,43 @@ def edited(r, words, k):
     return " ".join(w for w in words if w)
 
 
+def one(index, text):
+    return index.leaked([text])[0]
+
+
 @pytest.mark.parametrize("seed", range(5))
-def test_search_misses_nothing(seed):
+@pytest.mark.parametrize("expanded", [1, 50, 10**6])
+def test_search_misses_nothing(seed, expanded, monkeypatch):
+    monkeypatch.setattr(leak, "EXPANDED", expanded)
     r = random.Random(seed)
     passages = [item(r, r.randint(20, 60)) for _ in range(60)] + [item(r, 10), ""]
     index = leak.Index(list(enumerate(passages)))
-    for _ in range(40):
-        q = set(leak.words(item(r, 30))) | set(r.choice(index.passages)[: r.randint(3, 25)]) | set(r.choice(index.passages)[:8])
+    queries, want = [], set()
+    for q in range(40):
+        words = set(index.numbers(item(r, 30))) | set(index.passage(r.randrange(62))[: r.randint(3, 25)]) | set(index.passage(r.randrange(62))[:8])
+        queries += sorted((q, w) for w in words if w >= 0)
         scores = [0.0] * len(passages)
-        for w in q:
-            for k, x in zip(*index.postings.get(w, ([], []))[:2]):
-                scores[k] += x
-        assert index.search(q) == [k for k, s in enumerate(scores) if s >= 1]
+        for w in words:
+            if w >= 0:
+                for k in range(index.start[w], index.start[w + 1]):
+                    scores[index.items[k]] += float(index.weights[k])
+        want |= {(q, k) for k, s in enumerate(scores) if s >= 1}
+    pairs = np.array(queries, np.int64).reshape(-1, 2)
+    assert set(index.search(pairs[:, 0], pairs[:, 1], 40)) == want and want
+
+
+@pytest.mark.parametrize("text", ["It's <b>bold</b> & \"quoted\" isn't 'so' [b]x[/b] http://a.b/c d", "3 < 4 and 5 > 2", "<a href='" + "x" * 2000 + "'>link</a> end", "O'Neil\nnew\tline"])
+def test_short_way_of_words_is_the_long_one(text):
+    assert leak.words(text) == leak.words(text + " é")[:-1]
+
+
+def test_batches_are_texts_one_by_one():
+    r = random.Random(11)
+    passages = [item(r, 40) for _ in range(30)]
+    index = leak.Index(list(enumerate(passages)))
+    texts = [" ".join(r.choice(passages) if r.random() < 0.3 else item(r, r.randint(0, 60)) for _ in range(r.randint(0, 4))) for _ in range(50)] + [None, "", " "]
+    together = index.leaked(texts)
+    assert together == [one(index, t) for t in texts] and any(together)
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -43,10 +69,10 @@ def test_quotes(seed):
     for n in (18, 25, 50):
         start = r.randint(0, 50 - n)
         quote = own[start : start + n]
-        assert index.leaked(f"{filler} {' '.join(quote)} {filler}") == {107}
-        assert index.leaked(f"{filler} {edited(r, quote, n // 10)} {filler}") == {107}
-        assert index.leaked("<br>".join(quote).upper().replace("<BR>", "<br> ​")) == {107}
-    assert index.leaked(f"{filler} {' '.join(own[:12])} {filler} {' '.join(own[14:26])}") == set()
+        assert one(index, f"{filler} {' '.join(quote)} {filler}") == {107}
+        assert one(index, f"{filler} {edited(r, quote, n // 10)} {filler}") == {107}
+        assert one(index, "<br>".join(quote).upper().replace("<BR>", "<br> ​")) == {107}
+    assert one(index, f"{filler} {' '.join(own[:12])} {filler} {' '.join(own[14:26])}") == set()
 
 
 @pytest.mark.parametrize("n, gap", [(18, 8), (20, 9), (25, 12)])
@@ -56,7 +82,7 @@ def test_interrupted_quotes(n, gap):
     index = leak.Index([(7, " ".join(own))])
     for before in range(0, 60, 5):
         text = [*item(r, before).split(), *own[:n], *item(r, gap).split(), *own[n : 2 * n], *item(r, 30).split()]
-        assert index.leaked(" ".join(text)) == {7}
+        assert one(index, " ".join(text)) == {7}
 
 
 def test_short_quote_hides_no_leak():
@@ -64,17 +90,17 @@ def test_short_quote_hides_no_leak():
     own = item(r).split()
     changed = [("zzz" if i in (4, 9, 14) else w) for i, w in enumerate(own[30:48])]
     index = leak.Index([(7, " ".join(own))])
-    assert index.leaked(" ".join([*own[:12], *item(r, 6).split(), *changed])) == {7}
-    assert index.leaked(" ".join([*own[:12], *item(r, 6).split(), *changed[:12]])) == set()
+    assert one(index, " ".join([*own[:12], *item(r, 6).split(), *changed])) == {7}
+    assert one(index, " ".join([*own[:12], *item(r, 6).split(), *changed[:12]])) == set()
 
 
 def test_items_of_few_different_words():
     r = random.Random(8)
     own = item(r, 30)
     index = leak.Index([(1, own + " la" * 20), (2, item(r, 30)), (3, "la la la")])
-    assert index.leaked(f"{item(r, 70)} {own} {item(r, 30)}") == {1}
-    assert index.leaked(f"{item(r, 70)}{' la' * 20} {item(r, 30)}") == {1}
-    assert index.leaked(f"{item(r, 70)}{' la' * 9} {item(r, 30)}") == set()
+    assert one(index, f"{item(r, 70)} {own} {item(r, 30)}") == {1}
+    assert one(index, f"{item(r, 70)}{' la' * 20} {item(r, 30)}") == {1}
+    assert one(index, f"{item(r, 70)}{' la' * 9} {item(r, 30)}") == set()
 
 
 def test_fitting():
@@ -115,7 +141,18 @@ def test_recall_against_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{sf}/eval_items.parquet").select("eval_id", "passage").collect()
     index = leak.Index([(x.eval_id, x.passage) for x in items])
-    for d in docs:
-        w = leak.words(d.text)
-        near = {index.ids[k] for k, p in enumerate(index.passages) if sum(x in set(w) for x in p) >= 12 and leak.contains(p, w)}
-        assert index.leaked(d.text) == near
+    for d, got in zip(docs, index.leaked([d.text for d in docs])):
+        w = index.numbers(d.text)
+        have = set(w)
+        assert got == {index.ids[k] for k in range(len(items)) if sum(x in have for x in index.passage(k)) >= 12 and leak.contains(index.passage(k), w)}
+
+
+def test_many_items_stay_small():
+    """20 000 items of Zipf-like words: what is broadcast is some 1 kB an item."""
+    import pickle
+
+    rng = np.random.default_rng(1)
+    picks = (rng.zipf(1.2, 20_000 * 45) % 60_000).reshape(20_000, 45)
+    index = leak.Index([(k, " ".join(f"w{x}" for x in row)) for k, row in enumerate(picks)])
+    assert len(pickle.dumps(index)) < 1500 * 20_000
+    assert index.leaked([" ".join(f"w{x}" for x in picks[77])])[0] >= {77}

@@ -1,14 +1,17 @@
 """Evaluation passages inside a corpus: a BM25 index of the passages, searched by block-max WAND, then verified.
 
 The evaluation items are indexed: per word the items that hold it and its BM25 weight there, the largest weight of
-the word, and the largest in each block of BLOCK items. Every passage of a document (WINDOW words, overlapping by
-OVERLAP) is a query. An item must be found when WORDS words in a row of it occur with at most EDITS of them changed;
-the least BM25 score such a stretch can leave is known for each item, and weights are divided by it, so a score of 1
-is the threshold and nothing above it is missed. WAND skips items, and block maxima skip blocks, which cannot reach
-it. Found items are verified: every WORDS words in a row by edit distance, longer stretches by local alignment.
-
-The index is broadcast in blocks of at most ITEMS items, a fixed bound; more items make more passes over the
-documents, never a larger broadcast.
+the word, and the largest in each block of BLOCK items, all in flat arrays. Every passage of a document (WINDOW words,
+overlapping by OVERLAP) is a query. An item must be found when WORDS words in a row of it occur with at most EDITS of
+them changed; the least BM25 score such a stretch can leave is known for each item, and weights are divided by it, so
+a score of 1 is the threshold and nothing above it is missed. The queries of a whole batch are bounded at once: first
+by the largest weights of their words, then by block maxima, where the longest lists, which together can't reach the
+threshold, are skipped, so that the work follows the lists of rare words and not the number of items. WAND searches
+the blocks that are left. Found items are verified: every WORDS words in a row by edit distance, longer stretches by
+local alignment.
+
+The index is built and broadcast in shards of at most ITEMS items, a fixed bound (some 1 kB an item); each further
+shard makes one more pass over the documents, never a larger broadcast, and only one is held on the driver at a time.
 
 Cases: null, empty or blank texts and passages match nothing; a passage of fewer than WORDS words matches nothing;
 repeated rows give one result row; very long texts are searched whole, window by window; empty tables give an empty
@@ -18,10 +21,8 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import html
-import math
+import re
 import unicodedata
-from bisect import bisect_left
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,16 +30,18 @@ import pyarrow as pa
 import regex
 from functools import reduce
 from operator import itemgetter
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import spread
-
 WORDS, EDITS = 18, 3
 WINDOW, OVERLAP = 48, 24
-BLOCK, ITEMS = 4, 20_000
+BLOCK, ITEMS = 4, 200_000
 K1, B = 1.2, 0.75
-_TAG = regex.compile(r"<[^<>]{1,300}>|\[/?[a-z]{1,10}\]|https?://\S+")
+EXPANDED = 4_000_000  # block maxima added up at a time
+_TAG = regex.compile(r"</?[A-Za-z!][^<>]*>|\[/?[a-z]{1,10}\]|https?://\S+")
+_PLAIN_WORD = re.compile(r"[a-z0-9]+")
+_PLAIN_QUOTE = re.compile(r"(?<=[A-Za-z])'(?=[A-Za-z])")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}\p{Mn}--[\t\n\r]]+", regex.V1)
 _QUOTE = regex.compile(r"(?<=\p{L})(?:['’`´ʼ]|â€™)(?=\p{L})")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -48,8 +51,13 @@ def words(text: str | None) -> list[str]:
     """Words without case, punctuation, markup, accents and invisible characters."""
     if not text:
         return []
-    text = _QUOTE.sub("", _TAG.sub(" ", html.unescape(text)))
-    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", text).casefold()))
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text or "[" in text or "://" in text:
+        text = _TAG.sub(" ", text)
+    if text.isascii() and text.isprintable():  # the same in fewer steps
+        return _PLAIN_WORD.findall((_PLAIN_QUOTE.sub("", text) if "'" in text else text).lower())
+    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKD", _QUOTE.sub("", text)).casefold()))
 
 
 _item = itemgetter(0)
@@ -60,62 +68,106 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in items]
-        self.passages = [words(p) for _, p in items]
-        counts = [Counter(p) for p in self.passages]
-        held = Counter(w for c in counts for w in c)
-        mean = sum(map(len, self.passages)) / max(1, len(items))
-        self.postings: dict[str, tuple[list[int], list[float], float, int]] = {}  # items, weights, largest, row of tops
-        lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        plain: list[int] = []
-        for k, c in enumerate(counts):
-            n = len(self.passages[k])
-            weight = {w: math.log(1 + (len(items) - held[w] + 0.5) / (held[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * n / mean)) for w, f in c.items()}
-            least = self._least(self.passages[k], weight)
-            if least > 0:
-                for w in sorted(c):
-                    lists[w].append((k, weight[w] / least))
-            elif n >= WORDS:
-                plain.append(k)
+        self.number: dict[str, int] = {}
+        number = self.number
+        passages = [np.array([number.setdefault(w, len(number)) for w in words(p)], np.int32) for _, p in items]
+        size = np.array([len(p) for p in passages], np.int64)
+        self.text = np.concatenate([*passages, np.zeros(0, np.int32)])
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        vocabulary = max(1, len(number))
+        # an entry for each item and different word, by item
+        pair, times = np.unique(np.repeat(np.arange(len(items)), size) * vocabulary + self.text, return_counts=True)
+        item, word = pair // vocabulary, pair % vocabulary
+        held = np.bincount(word, minlength=vocabulary)
+        mean = size.mean() if len(items) else 1.0
+        weight = np.log(1 + (len(items) - held[word] + 0.5) / (held[word] + 0.5)) * times * (K1 + 1) / (times + K1 * (1 - B + B * size[item] / max(mean, 1e-9)))
+        least = np.zeros(len(items))
+        first = np.searchsorted(item, np.arange(len(items) + 1))
+        for k, p in enumerate(passages):
+            least[k] = self._least(p, word[first[k] : first[k + 1]], weight[first[k] : first[k + 1]])
         #: items without a threshold, as some WORDS words in a row hold EDITS different words at most: verified in every window
-        self.plain = plain
-        #: largest weight of each word in each block
-        self.tops = np.zeros((len(lists), -(-len(items) // BLOCK)))
-        for row, (w, found) in enumerate(lists.items()):
-            for k, x in found:
-                self.tops[row, k // BLOCK] = max(self.tops[row, k // BLOCK], x)
-            self.postings[w] = ([k for k, _ in found], [x for _, x in found], max(x for _, x in found), row)
+        self.plain = [k for k in range(len(items)) if least[k] <= 0 and size[k] >= WORDS]
+        keep = least[item] > 0
+        item, word, scaled = item[keep], word[keep], (weight[keep] / least[item[keep]]).astype(np.float32)
+        order = np.lexsort((item, word))
+        self.items, self.weights, word = item[order].astype(np.int32), scaled[order], word[order]
+        self.start = np.searchsorted(word, np.arange(vocabulary + 1))
+        # block maxima of each word, in the order of its list
+        block = word * (len(items) // BLOCK + 1) + self.items // BLOCK
+        head = np.flatnonzero(np.diff(block, prepend=-1))
+        self.block = (self.items[head] // BLOCK).astype(np.int32)
+        self.block_top = np.maximum.reduceat(self.weights, head) if len(head) else np.zeros(0, np.float32)
+        self.block_start = np.searchsorted(head, self.start)
+        self.top = np.zeros(vocabulary)
+        listed = np.flatnonzero(np.diff(self.block_start))
+        if len(listed):
+            self.top[listed] = np.maximum.reduceat(self.block_top, self.block_start[listed])
+        self.n_blocks = len(items) // BLOCK + 1
 
     @staticmethod
-    def _least(passage: list[str], weight: dict[str, float]) -> float:
+    def _least(passage: np.ndarray, words: np.ndarray, weights: np.ndarray) -> float:
         """The least score that WORDS words in a row leave when EDITS of them are changed."""
-        scores = []
-        for s in range(len(passage) - WORDS + 1):
-            own = sorted(weight[w] for w in set(passage[s : s + WORDS]))
-            scores.append(sum(own[: max(0, len(own) - EDITS)]))
-        return min(scores, default=0.0) * (1 - 1e-9)
-
-    def search(self, query: set[str]) -> list[int]:
-        """Positions of all items whose score reaches 1, by block-max WAND.
-
-        The block maxima of the query's words, added up, tell which blocks can hold such an item at all.
-        """
-        rows = [p for w in query if (p := self.postings.get(w))]
-        if sum(p[2] for p in rows) < 1:
+        if len(passage) < WORDS:
+            return 0.0
+        at = np.searchsorted(words, passage)
+        rows = np.lib.stride_tricks.sliding_window_view(at, WORDS)
+        rows = np.sort(rows, axis=1)
+        again = np.zeros(rows.shape, bool)
+        again[:, 1:] = rows[:, 1:] == rows[:, :-1]  # a word counts once
+        own = -np.sort(-np.where(again, 0.0, weights[rows]), axis=1)
+        return float(own[:, EDITS:].sum(axis=1).min()) * (1 - 1e-5)
+
+    def passage(self, k: int) -> list[int]:
+        return self.text[self.ends[k] : self.ends[k + 1]].tolist()
+
+    def numbers(self, text: str | None) -> list[int]:
+        """The words of a text by number, -1 for those of no passage."""
+        get = self.number.get
+        return [get(w, -1) for w in words(text)]
+
+    def search(self, query: np.ndarray, word: np.ndarray, n_queries: int) -> list[tuple[int, int]]:
+        """(query, position of item) of all items whose score reaches 1; of pairs (query, word), sorted and different."""
+        alive = np.bincount(query, self.top[word], minlength=n_queries) >= 1 - 1e-6
+        keep = alive[query] & (self.top[word] > 0)
+        query, word = query[keep], word[keep]
+        if not len(query):
             return []
-        bounds = self.tops[[p[3] for p in rows]].sum(axis=0)
-        out: list[int] = []
-        for block in np.flatnonzero(bounds >= 1 - 1e-6).tolist():
-            out += self._wand(rows, block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
+        length = np.diff(self.block_start)[word]
+        order = np.lexsort((-length, query))
+        query, word, length = query[order], word[order], length[order]
+        run = np.cumsum(self.top[word])
+        head = np.flatnonzero(np.diff(query, prepend=-1))
+        within = run - np.repeat(run[head] - self.top[word[head]], np.diff(np.append(head, len(query))))
+        skipped = within < 1 - 1e-4  # the longest lists of a query, which can't reach the threshold by themselves
+        rest = np.bincount(query, np.where(skipped, self.top[word], 0.0), minlength=n_queries)
+        eq, ew, en = query[~skipped], word[~skipped], length[~skipped]
+        out: list[tuple[int, int]] = []
+        done = np.cumsum(en)
+        at = 0
+        while at < len(eq):  # whole queries, as many as fit
+            to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + EXPANDED, side="right")))
+            to = int(np.searchsorted(eq, eq[to - 1], side="right"))
+            n = en[at:to]
+            begin = np.cumsum(n) - n
+            place = np.repeat(self.block_start[ew[at:to]] - begin, n) + np.arange(int(n.sum()))
+            code, inverse = np.unique(np.repeat(eq[at:to], n) * self.n_blocks + self.block[place], return_inverse=True)
+            bound = np.bincount(inverse, self.block_top[place]) + rest[code // self.n_blocks]
+            for c in code[bound >= 1 - 1e-5].tolist():
+                q, b = divmod(c, self.n_blocks)
+                lo, hi = np.searchsorted(query, [q, q + 1])
+                out += [(q, k) for k in self._wand(word[lo:hi].tolist(), b * BLOCK, (b + 1) * BLOCK)]
+            at = to
         return out
 
-    @staticmethod
-    def _wand(rows: list[tuple], start: int, end: int) -> list[int]:
+    def _wand(self, words: list[int], start: int, end: int) -> list[int]:
         """Items from start to end whose score reaches 1: the lists in front of the pivot, which can't reach it alone, skip to it."""
         cursors = []
-        for items, weights, top, _ in rows:
-            at = bisect_left(items, start)
-            if at < len(items) and items[at] < end:
-                cursors.append([items[at], at, items, weights, top])
+        for w in words:
+            a, b = int(self.start[w]), int(self.start[w + 1])
+            lo, hi = a + np.searchsorted(self.items[a:b], [start, end])
+            if lo < hi:
+                items = self.items[lo:hi].tolist()
+                cursors.append([items[0], 0, items, self.weights[lo:hi].tolist(), float(self.weights[lo:hi].max())])
         found = []
         while cursors:
             cursors.sort(key=_item)
@@ -147,24 +199,45 @@ class Index:
                 cursors = [c for c in cursors if c[0] < end]
         return found
 
-    def leaked(self, text: str | None) -> set[int]:
-        """Ids of the items that a text contains."""
-        w = words(text)
-        out: set[int] = set()
+    def leaked(self, texts: list[str | None]) -> list[set[int]]:
+        """Of each text, the ids of the items that it contains."""
         step = WINDOW - OVERLAP
-        for s in range(0, max(1, len(w) - OVERLAP), step):
-            window = w[s : s + WINDOW]
-            grams: set[tuple[str, str, str]] | None = None
-            for k in self.search(set(window)) + self.plain:
-                if grams is None:
-                    near = w[max(0, s - OVERLAP) : s + WINDOW + OVERLAP]
-                    grams, have = set(zip(near, near[1:], near[2:])), set(near)
-                if self.ids[k] not in out and dense(self.passages[k], grams, have) and contains(self.passages[k], near):
-                    out.add(self.ids[k])
+        assert WINDOW == 2 * step  # each word lies in two windows
+        docs = [self.numbers(t) for t in texts]
+        size = np.array([len(d) for d in docs], np.int64)
+        windows = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // step)), 0)
+        base = np.cumsum(windows) - windows
+        doc = np.repeat(np.arange(len(docs)), size)
+        word = np.array([w for d in docs for w in d], np.int64)
+        last = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)) // step
+        vocabulary = len(self.top)
+        keys = []
+        for j in (last, last - 1):
+            ok = (j >= 0) & (j < windows[doc]) & (word >= 0)
+            keys.append((base[doc[ok]] + j[ok]) * vocabulary + word[ok])
+        key = np.unique(np.concatenate(keys))
+        n = int(windows.sum())
+        hits = self.search(key // vocabulary, key % vocabulary, n)
+        if self.plain:
+            hits += [(q, k) for q in range(n) for k in self.plain]
+        out: list[set[int]] = [set() for _ in docs]
+        owner = np.repeat(np.arange(len(docs)), windows)
+        at, near, grams, have = -1, [], set(), set()
+        for q, k in sorted(hits):
+            d = int(owner[q])
+            if self.ids[k] in out[d]:
+                continue
+            if q != at:
+                s = int(q - base[d]) * step
+                near = docs[d][max(0, s - OVERLAP) : s + WINDOW + OVERLAP]
+                at, grams, have = q, set(zip(near, near[1:], near[2:])), set(near)
+            p = self.passage(k)
+            if dense(p, grams, have) and contains(p, near):
+                out[d].add(self.ids[k])
         return out
 
 
-def dense(passage: list[str], grams: set[tuple[str, str, str]], have: set[str]) -> bool:
+def dense(passage: list[int], grams: set[tuple[int, int, int]], have: set[int]) -> bool:
     """Whether some WORDS words in a row of the passage are all but EDITS in the text, and enough of them there in threes.
 
     A leak must: EDITS changed words leave EDITS + 1 pieces of WORDS - EDITS words, and at worst all but one of the pieces
@@ -187,7 +260,7 @@ def dense(passage: list[str], grams: set[tuple[str, str, str]], have: set[str])
     return False
 
 
-def contains(passage: list[str], text: list[str]) -> bool:
+def contains(passage: list[int], text: list[int]) -> bool:
     """Whether WORDS words in a row of the passage occur in the text, with about one in ten changed, left out or added.
 
     Every WORDS words are tried by themselves, as the best alignment may join two quotes over a gap that is too wide for
@@ -202,7 +275,7 @@ def contains(passage: list[str], text: list[str]) -> bool:
     return span >= WORDS and edits <= max(EDITS, 0.2 * span)
 
 
-def best_stretch(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
+def best_stretch(a: list[int], b: list[int]) -> tuple[int, int, int, int, int]:
     """Local alignment (match 1, edit -2) of best score: words of a in it, edits, its start and end in a, its end in b."""
     n = len(b)
     score, start, edit = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
@@ -228,11 +301,11 @@ def best_stretch(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
     return best[1:]
 
 
-def fitting(a: list[str], b: list[str]) -> int:
+def fitting(a: list[int], b: list[int]) -> int:
     """Least edits to find all of a somewhere in b, by the bits of a column at once (Myers)."""
     if not a:
         return 0
-    at: dict[str, int] = {}
+    at: dict[int, int] = {}
     for i, x in enumerate(a):
         at[x] = at.get(x, 0) | 1 << i
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -253,15 +326,12 @@ def fitting(a: list[str], b: list[str]) -> int:
     return least
 
 
-def _finder(index: Index):
+def _finder(index: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, items = [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for e in sorted(index.leaked(text)):
-                    docs.append(d)
-                    items.append(e)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int32())], names=["doc_id", "eval_id"])
+            found = [sorted(f) for f in index.value.leaked(batch.column(1).to_pylist())]
+            docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array([e for f in found for e in f], pa.int32())], names=["doc_id", "eval_id"])
 
     return run
 
@@ -281,8 +351,8 @@ def item_blocks(items: DataFrame, id_col: str, passage: str) -> Iterator[list[tu
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "eval_id", passage: str = "passage") -> DataFrame:
     """{id}, {item}: each document with each item of which it holds WORDS or more words in a row."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = spread(rows)
-    parts = [rows.mapInArrow(_finder(Index(block)), "doc_id bigint, eval_id int") for block in item_blocks(items, item_col, passage)]
+    sc = documents.sparkSession.sparkContext
+    parts = [rows.mapInArrow(_finder(sc.broadcast(Index(block))), "doc_id bigint, eval_id int") for block in item_blocks(items, item_col, passage)]
     if not parts:
         parts = [rows.select("doc_id", F.lit(None).cast("int").alias("eval_id")).where(F.lit(False))]
     return reduce(DataFrame.unionByName, parts).distinct().withColumnsRenamed({"doc_id": id_col, "eval_id": item_col})
