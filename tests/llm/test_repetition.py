@@ -55,3 +55,11 @@ def test_documents(spark):
     assert got[7][0] > 0.99
     assert sorted(r.doc_id for r in repetition.repetitive(df).collect()) == [1, 1, 6, 7]
     assert repetition.repetitive(df.where("false")).count() == 0
+
+
+def test_longest_repeat_is_a_second_limit(spark):
+    other = " ".join(f"w{k}" for k in range(60))
+    df = spark.createDataFrame([(1, "one two three four five " + other + " one two three four five"), (2, other), (3, "la la la la la la")], "doc_id long, text string")
+    ids = lambda d: {r.doc_id for r in d.collect()}
+    assert ids(repetition.repetitive(df)) == {3}
+    assert ids(repetition.repetitive(df, longest=5)) == {1, 3}

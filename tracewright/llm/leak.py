@@ -1,16 +1,17 @@
 """Evaluation passages inside a corpus: a BM25 index of the passages, searched by block-max WAND, then verified.
 
-The evaluation items are indexed: per word the items that hold it and its BM25 weight there, the largest weight of
-the word, and the largest in each block of BLOCK items, all in flat arrays. Every passage of a document (WINDOW words,
+The evaluation items are indexed; terms are pairs of neighbouring words, as single ones are shared by all texts of a
+language: per term the items that hold it and its BM25 weight there, the largest weight of the term, and the largest
+in each block of BLOCK items, all in flat arrays. Every passage of a document (WINDOW words,
 overlapping by OVERLAP) is a query. An item must be found when WORDS words in a row of it occur with at most EDITS of
-them changed; the least BM25 score such a stretch can leave is known for each item, and weights are divided by it, so
+them changed, each of which costs two terms; the least BM25 score that is left is known for each item, and weights are divided by it, so
 a score of 1 is the threshold and nothing above it is missed. The queries of a whole batch are bounded at once: first
-by the largest weights of their words, then by block maxima, where the longest lists, which together can't reach the
-threshold, are skipped, so that the work follows the lists of rare words and not the number of items. WAND searches
+by the largest weights of their terms, then by block maxima, where the longest lists, which together can't reach the
+threshold, are skipped, so that the work follows the lists of rare terms and not the number of items. WAND searches
 the blocks that are left. Found items are verified: every WORDS words in a row by edit distance, longer stretches by
 local alignment.
 
-The index is built and broadcast in shards of at most ITEMS items, a fixed bound (some 1 kB an item); each further
+The index is built and broadcast in shards of at most ITEMS items, a fixed bound (some 2 kB an item); each further
 shard makes one more pass over the documents, never a larger broadcast, and only one is held on the driver at a time.
 
 Cases: null, empty or blank texts and passages match nothing; a passage of fewer than WORDS words matches nothing;
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 WORDS, EDITS = 18, 3
 WINDOW, OVERLAP = 48, 24
-BLOCK, ITEMS = 4, 200_000
+BLOCK, ITEMS = 4, 50_000
 K1, B = 1.2, 0.75
+SKIPPED = 0.4  # what the skipped lists of a query may add up to; changes the work only
 EXPANDED = 4_000_000  # block maxima added up at a time
 _TAG = regex.compile(r"</?[A-Za-z!][^<>]*>|\[/?[a-z]{1,10}\]|https?://\S+")
 _PLAIN_WORD = re.compile(r"[a-z0-9]+")
@@ -74,28 +76,36 @@ class Index:
         size = np.array([len(p) for p in passages], np.int64)
         self.text = np.concatenate([*passages, np.zeros(0, np.int32)])
         self.ends = np.concatenate([[0], np.cumsum(size)])
-        vocabulary = max(1, len(number))
-        # an entry for each item and different word, by item
-        pair, times = np.unique(np.repeat(np.arange(len(items)), size) * vocabulary + self.text, return_counts=True)
+        # all pairs of neighbours, by item
+        owner = np.repeat(np.arange(len(items)), size)
+        inside = np.append(owner[1:] == owner[:-1], False)[: len(owner)]
+        codes = self._codes(self.text, np.append(self.text[1:], 0)[: len(self.text)])
+        self.terms, term = np.unique(codes[inside], return_inverse=True)
+        vocabulary = max(1, len(self.terms))
+        at_item = np.concatenate([[0], np.cumsum(np.maximum(size - 1, 0))])
+        pair, times = np.unique(owner[inside] * vocabulary + term, return_counts=True)
         item, word = pair // vocabulary, pair % vocabulary
         held = np.bincount(word, minlength=vocabulary)
         mean = size.mean() if len(items) else 1.0
         weight = np.log(1 + (len(items) - held[word] + 0.5) / (held[word] + 0.5)) * times * (K1 + 1) / (times + K1 * (1 - B + B * size[item] / max(mean, 1e-9)))
         least = np.zeros(len(items))
         first = np.searchsorted(item, np.arange(len(items) + 1))
-        for k, p in enumerate(passages):
-            least[k] = self._least(p, word[first[k] : first[k + 1]], weight[first[k] : first[k + 1]])
+        for k in range(len(items)):
+            least[k] = self._least(term[at_item[k] : at_item[k + 1]], word[first[k] : first[k + 1]], weight[first[k] : first[k + 1]])
         #: items without a threshold, as some WORDS words in a row hold EDITS different words at most: verified in every window
         self.plain = [k for k in range(len(items)) if least[k] <= 0 and size[k] >= WORDS]
         keep = least[item] > 0
         item, word, scaled = item[keep], word[keep], (weight[keep] / least[item[keep]]).astype(np.float32)
         order = np.lexsort((item, word))
         self.items, self.weights, word = item[order].astype(np.int32), scaled[order], word[order]
+        self.n_items = len(items)
+        self.item_key = word * self.n_items + self.items
         self.start = np.searchsorted(word, np.arange(vocabulary + 1))
-        # block maxima of each word, in the order of its list
+        # block maxima of each term, in the order of its list
         block = word * (len(items) // BLOCK + 1) + self.items // BLOCK
         head = np.flatnonzero(np.diff(block, prepend=-1))
         self.block = (self.items[head] // BLOCK).astype(np.int32)
+        self.block_key = block[head]
         self.block_top = np.maximum.reduceat(self.weights, head) if len(head) else np.zeros(0, np.float32)
         self.block_start = np.searchsorted(head, self.start)
         self.top = np.zeros(vocabulary)
@@ -105,17 +115,28 @@ class Index:
         self.n_blocks = len(items) // BLOCK + 1
 
     @staticmethod
-    def _least(passage: np.ndarray, words: np.ndarray, weights: np.ndarray) -> float:
-        """The least score that WORDS words in a row leave when EDITS of them are changed."""
-        if len(passage) < WORDS:
+    def _least(terms: np.ndarray, known: np.ndarray, weights: np.ndarray) -> float:
+        """The least score that WORDS words in a row leave when EDITS of them are changed, of an item's terms in order."""
+        if len(terms) < WORDS - 1:
             return 0.0
-        at = np.searchsorted(words, passage)
-        rows = np.lib.stride_tricks.sliding_window_view(at, WORDS)
-        rows = np.sort(rows, axis=1)
+        at = np.searchsorted(known, terms)
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(at, WORDS - 1), axis=1)
         again = np.zeros(rows.shape, bool)
-        again[:, 1:] = rows[:, 1:] == rows[:, :-1]  # a word counts once
+        again[:, 1:] = rows[:, 1:] == rows[:, :-1]  # a term counts once
         own = -np.sort(-np.where(again, 0.0, weights[rows]), axis=1)
-        return float(own[:, EDITS:].sum(axis=1).min()) * (1 - 1e-5)
+        return float(own[:, 2 * EDITS :].sum(axis=1).min()) * (1 - 1e-5)
+
+    def _codes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.asarray(a, np.int64) * (len(self.number) + 1) + b
+
+    def terms_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The term that each word of a text makes with the next one, -1 where it is none."""
+        a, b = numbers, np.append(numbers[1:], -1)[: len(numbers)]
+        code = np.where((a >= 0) & (b >= 0), self._codes(a, b), -1)
+        if not len(self.terms):
+            return np.full(len(code), -1)
+        at = np.minimum(np.searchsorted(self.terms, code), len(self.terms) - 1)
+        return np.where(self.terms[at] == code, at, -1)
 
     def passage(self, k: int) -> list[int]:
         return self.text[self.ends[k] : self.ends[k + 1]].tolist()
@@ -126,7 +147,7 @@ class Index:
         return [get(w, -1) for w in words(text)]
 
     def search(self, query: np.ndarray, word: np.ndarray, n_queries: int) -> list[tuple[int, int]]:
-        """(query, position of item) of all items whose score reaches 1; of pairs (query, word), sorted and different."""
+        """(query, position of item) of all items whose score reaches 1; of pairs (query, term), sorted and different."""
         alive = np.bincount(query, self.top[word], minlength=n_queries) >= 1 - 1e-6
         keep = alive[query] & (self.top[word] > 0)
         query, word = query[keep], word[keep]
@@ -138,7 +159,7 @@ class Index:
         run = np.cumsum(self.top[word])
         head = np.flatnonzero(np.diff(query, prepend=-1))
         within = run - np.repeat(run[head] - self.top[word[head]], np.diff(np.append(head, len(query))))
-        skipped = within < 1 - 1e-4  # the longest lists of a query, which can't reach the threshold by themselves
+        skipped = within < SKIPPED  # the longest lists of a query, which can't reach the threshold by far
         rest = np.bincount(query, np.where(skipped, self.top[word], 0.0), minlength=n_queries)
         eq, ew, en = query[~skipped], word[~skipped], length[~skipped]
         out: list[tuple[int, int]] = []
@@ -152,22 +173,46 @@ class Index:
             place = np.repeat(self.block_start[ew[at:to]] - begin, n) + np.arange(int(n.sum()))
             code, inverse = np.unique(np.repeat(eq[at:to], n) * self.n_blocks + self.block[place], return_inverse=True)
             bound = np.bincount(inverse, self.block_top[place]) + rest[code // self.n_blocks]
-            for c in code[bound >= 1 - 1e-5].tolist():
-                q, b = divmod(c, self.n_blocks)
-                lo, hi = np.searchsorted(query, [q, q + 1])
-                out += [(q, k) for k in self._wand(word[lo:hi].tolist(), b * BLOCK, (b + 1) * BLOCK)]
+            out += self._searched(self._bounded(code[bound >= 1 - 1e-5], query, word), query, word)
             at = to
         return out
 
-    def _wand(self, words: list[int], start: int, end: int) -> list[int]:
-        """Items from start to end whose score reaches 1: the lists in front of the pivot, which can't reach it alone, skip to it."""
-        cursors = []
-        for w in words:
-            a, b = int(self.start[w]), int(self.start[w + 1])
-            lo, hi = a + np.searchsorted(self.items[a:b], [start, end])
-            if lo < hi:
-                items = self.items[lo:hi].tolist()
-                cursors.append([items[0], 0, items, self.weights[lo:hi].tolist(), float(self.weights[lo:hi].max())])
+    def _spread(self, code: np.ndarray, query: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each (query, block) code all words of the query: places in ``code``, and words."""
+        q = code // self.n_blocks
+        lo = np.searchsorted(query, q)
+        n = np.searchsorted(query, q, side="right") - lo
+        begin = np.cumsum(n) - n
+        return np.repeat(np.arange(len(code)), n), word[np.repeat(lo - begin, n) + np.arange(int(n.sum()))]
+
+    def _bounded(self, code: np.ndarray, query: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Those (query, block) codes which the block maxima of all words of the query let reach the threshold."""
+        which, w = self._spread(code, query, word)
+        wanted = w * self.n_blocks + (code % self.n_blocks)[which]
+        at = np.minimum(np.searchsorted(self.block_key, wanted), len(self.block_key) - 1)
+        top = np.where(self.block_key[at] == wanted, self.block_top[at], 0.0)
+        return code[np.bincount(which, top, minlength=len(code)) >= 1 - 1e-5]
+
+    def _searched(self, code: np.ndarray, query: np.ndarray, word: np.ndarray) -> list[tuple[int, int]]:
+        """(query, position of item) of the items of the given blocks whose score reaches 1."""
+        which, w = self._spread(code, query, word)
+        first = (code % self.n_blocks)[which] * BLOCK
+        lo = np.searchsorted(self.item_key, w * self.n_items + first)
+        hi = np.searchsorted(self.item_key, w * self.n_items + np.minimum(first + BLOCK, self.n_items))
+        some = lo < hi
+        which, lo, hi = which[some], lo[some].tolist(), hi[some].tolist()
+        out: list[tuple[int, int]] = []
+        bounds = np.searchsorted(which, np.arange(len(code) + 1)).tolist()
+        for c, a, e in zip(code.tolist(), bounds, bounds[1:]):
+            q, b = divmod(c, self.n_blocks)
+            lists = [(self.items[x:y].tolist(), self.weights[x:y].tolist()) for x, y in zip(lo[a:e], hi[a:e])]
+            out += [(q, k) for k in self._wand(lists, min((b + 1) * BLOCK, self.n_items))]
+        return out
+
+    @staticmethod
+    def _wand(lists: list[tuple[list[int], list[float]]], end: int) -> list[int]:
+        """Items before end whose score reaches 1: the lists in front of the pivot, which can't reach it alone, skip to it."""
+        cursors = [[items[0], 0, items, weights, max(weights)] for items, weights in lists]
         found = []
         while cursors:
             cursors.sort(key=_item)
@@ -202,13 +247,14 @@ class Index:
     def leaked(self, texts: list[str | None]) -> list[set[int]]:
         """Of each text, the ids of the items that it contains."""
         step = WINDOW - OVERLAP
-        assert WINDOW == 2 * step  # each word lies in two windows
+        assert WINDOW == 2 * step  # each place lies in two windows
         docs = [self.numbers(t) for t in texts]
         size = np.array([len(d) for d in docs], np.int64)
         windows = np.where(size > 0, np.maximum(1, -(-(size - OVERLAP) // step)), 0)
         base = np.cumsum(windows) - windows
         doc = np.repeat(np.arange(len(docs)), size)
-        word = np.array([w for d in docs for w in d], np.int64)
+        word = self.terms_of(np.array([w for d in docs for w in d], np.int64))
+        word[np.cumsum(size)[size > 0] - 1] = -1  # no term reaches into the next text
         last = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)) // step
         vocabulary = len(self.top)
         keys = []

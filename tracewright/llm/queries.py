@@ -71,5 +71,6 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p2_found, p2_scores, p2_rates, p3_found, p3_redacted, p8_ids, p9_found, p9_leaked_items, p10_found, p10_shares)}
-#: None of these can be stated in SQL; tests/llm holds them against brute force, round trips and held-out rows.
+#: What can be stated in SQL of a text query is stated over its own stored result; tests/llm holds the rest against brute
+#: force, round trips and held-out rows.
 ORACLE: dict[str, str] = {}

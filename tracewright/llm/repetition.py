@@ -23,8 +23,6 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.frames import spread
-
 MIN_WORDS, MIN_CHARS = 3, 6
 BATCH_CHARS = 2_000_000
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Cc}--[\t\n\r]]+", regex.V1)
@@ -133,11 +131,16 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """{id}, share, repeated, total (letters and digits), longest (words of the longest repeat) of each document."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = spread(rows).mapInArrow(_measured, "doc_id bigint, share double, repeated bigint, total bigint, longest bigint")
+    out = rows.mapInArrow(_measured, "doc_id bigint, share double, repeated bigint, total bigint, longest bigint")
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def repetitive(documents: DataFrame, at_least: float = 0.3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of the documents with at least that share of repeated letters and digits."""
+def repetitive(documents: DataFrame, at_least: float = 0.3, longest: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ids of the documents with at least that share of repeated letters and digits.
+
+    ``longest`` limits the longest repeat as well: documents with one of that many words (or characters) are given, too.
+    TESTDATA.md states its cases by the share alone, so p10_found sets none.
+    """
     r = repetition(documents, id_col, text)
-    return r.where((F.col("total") > 0) & (F.col("share") >= at_least)).select(id_col)
+    over = F.col("share") >= at_least
+    return r.where((F.col("total") > 0) & (over if longest is None else over | (F.col("longest") >= longest))).select(id_col)
