@@ -66,13 +66,3 @@ def before(df: DataFrame, keys: list[str], columns: list[str], out: str = "_befo
     carried = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carried"))
     on = reduce(lambda a, c: a & c, [F.col(f"x.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_bucket"]])
     return x.alias("x").join(carried.alias("c"), on, "left").select("x.*", F.coalesce("x._inside", "c._carried").alias(out)).drop("_bucket", "_inside")
-
-
-SMALL_INPUT = 1 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """An input of a single split, over all cores, ahead of a stage in Python; larger ones have splits enough."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -33,15 +33,15 @@ def status(store: LogStore, pending: dict[str, DataFrame] | None = None, purge:
     from tracewright.operators import retain
 
     parts = []
-    for f in sorted(store.tables):
-        df = store.tables[f]
+    for f in store.families:
+        df = store[f]
         if "time" not in df.columns or f == "user":
             continue
         gone = F.sum(F.when(retain.condition(purge), 1).otherwise(0)) if purge and f in retain.families(purge) else F.lit(0)
         waiting = (pending or {}).get(f)
-        n_waiting = waiting.count() if waiting is not None else 0
+        n_waiting = F.lit(0) if waiting is None else F.coalesce(waiting.agg(F.count(F.lit(1))).scalar(), F.lit(0))
         columns = ["id", "time", *(c for c in ("wid", "type") if c in df.columns)]
-        parts.append(store.once(df.select(*columns), f).agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("newest"), F.coalesce(gone, F.lit(0)).cast("long").alias("purgeable")).select(F.lit(f).alias("family"), "n", "newest", F.lit(n_waiting).cast("long").alias("pending"), "purgeable"))
+        parts.append(store.once(df.select(*columns), f).agg(F.count(F.lit(1)).alias("n"), F.max("time").alias("newest"), F.coalesce(gone, F.lit(0)).cast("long").alias("purgeable")).select(F.lit(f).alias("family"), "n", "newest", n_waiting.cast("long").alias("pending"), "purgeable"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -68,3 +68,13 @@ def rollback(store: LogStore, spec: LookupSpec, preview: bool = False) -> dict[s
 
 def restore(store: LogStore, spec: LookupSpec, preview: bool = False) -> dict[str, DataFrame]:
     return revert.run(store, revert.RevertPlan(spec, restore=True, preview=preview))
+
+
+def perform_purge(store: LogStore, seconds: int, now: int, folder: str) -> PurgeSpec:
+    """Purges what is older than that many seconds, as a console does (at least a day); writes the rest to ``folder``."""
+    from tracewright.operators import retain
+    from tracewright.plans.spec import parse_purge
+
+    spec = parse_purge(f"t:{seconds}s", now, console=True)
+    retain.purge(store, spec, folder)
+    return spec

@@ -54,7 +54,7 @@ def versions(df: DataFrame, entity: Column, value: Column, time: str = "time", i
     )
     per = Window.partitionBy("entity").orderBy("b")
     summary = summary.withColumn("opens", ~F.col("head.value").eqNullSafe(F.lag("b_last").over(per))).withColumn("start", F.when(F.col("opens"), F.col("head.t")).otherwise(F.col("inner_start")))
-    summary = summary.select("entity", "b", "opens", F.first("start", ignorenulls=True).over(per.rowsBetween(1, Window.unboundedFollowing)).alias("next_start"))
+    summary = summary.select("entity", "b", "opens", F.last("start", ignorenulls=True).over(Window.partitionBy("entity").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("next_start"))
     opened = islands.join(summary, ["entity", "b"]).where(F.col("inner") | F.col("opens"))
     inside = Window.partitionBy("entity", "b").orderBy("t", "i")
     return opened.select("entity", "value", F.col("t").alias("valid_from"), F.coalesce(F.lead("t").over(inside), F.col("next_start")).alias("valid_until"))

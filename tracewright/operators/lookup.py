@@ -141,8 +141,7 @@ class Planner:
             conds += self.place() + self.actors()
         if family in TBL:
             conds += self.types(family)
-        df = self.store[family]
-        return df.where(reduce(lambda a, b: a & b, conds)) if conds else df
+        return self.store.during(family, reduce(lambda a, b: a & b, conds, F.lit(True)), self.spec.start, self.spec.end)
 
 
 def family_of(spec: LookupSpec) -> str:
@@ -168,12 +167,36 @@ def unified(family: str, df: DataFrame, inventory: bool = False) -> DataFrame:
     return df.select(*[(F.lit(TBL[family]) if c == "tbl" else extra[c] if c in extra else F.col(c)).alias(c) for c in UNION])
 
 
-def rows(store: LogStore, spec: LookupSpec) -> DataFrame:
-    """All rows of a lookup, each entry once, in no order."""
+def selected(store: LogStore, spec: LookupSpec) -> dict[str, DataFrame]:
+    """The delivered rows of a lookup by family, in the columns of the result."""
     p = Planner(store, spec)
     if not spec.union:
-        return store.once(p.rows(family_of(spec)), family_of(spec))
-    return reduce(DataFrame.unionByName, [store.once(unified(f, p.rows(f), spec.inventory), f) for f in branches(spec)])
+        return {family_of(spec): p.rows(family_of(spec))}
+    return {f: unified(f, p.rows(f), spec.inventory) for f in branches(spec)}
+
+
+def rows(store: LogStore, spec: LookupSpec) -> DataFrame:
+    """All rows of a lookup, each entry once, in no order."""
+    return reduce(DataFrame.unionByName, [store.once(df, f) for f, df in selected(store, spec).items()])
+
+
+MOST_KEYS = 100_000  # a page up to that row is found by its keys
+
+
+def newest(store: LogStore, parts: dict[str, DataFrame], offset: int, limit: int) -> DataFrame:
+    """Rows offset to offset + limit of the parts, each entry once, newest first.
+
+    Where copies are possible, only the narrow keys of all rows are made distinct; the few keys of the page, at most
+    MOST_KEYS, then pick the wide rows, so that these aren't shuffled. Deeper pages are cut from the wide rows.
+    """
+    wide = reduce(DataFrame.unionByName, parts.values())
+    keys = ["time", "tbl", "id"] if "tbl" in wide.columns else ["id"]
+    cut = lambda df: df.orderBy(*[F.col(k).desc() for k in keys]).offset(offset).limit(limit)
+    if set(parts) <= store.unique or limit > MOST_KEYS:
+        return cut(reduce(DataFrame.unionByName, [store.once(df, f) for f, df in parts.items()]))
+    top = cut(reduce(DataFrame.unionByName, [store.once(df.select(*keys), f) for f, df in parts.items()])).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    mine = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return ordered(wide.join(F.broadcast(top), mine, "left_semi").distinct())  # at most MOST_KEYS narrow rows
 
 
 def ordered(df: DataFrame, oldest_first: bool = False) -> DataFrame:
@@ -187,8 +210,7 @@ def ordered(df: DataFrame, oldest_first: bool = False) -> DataFrame:
 
 def page(store: LogStore, spec: LookupSpec) -> DataFrame:
     """One page of a lookup: top rows first, then names for these few rows only."""
-    top = ordered(rows(store, spec)).offset((spec.page - 1) * spec.rows).limit(spec.rows)
-    return named(store, top)
+    return named(store, newest(store, selected(store, spec), (spec.page - 1) * spec.rows, spec.rows))
 
 
 def named(store: LogStore, df: DataFrame) -> DataFrame:
@@ -215,9 +237,9 @@ def kill_targets(store: LogStore, df: DataFrame) -> DataFrame:
 
 def counts(store: LogStore, spec: LookupSpec) -> DataFrame:
     """Rows by table of a lookup, without order or columns that aren't needed."""
-    df = rows(store, spec)
-    tbl = F.col("tbl") if "tbl" in df.columns else F.lit(TBL.get(family_of(spec), 0))
-    return df.groupBy(tbl.alias("tbl")).agg(F.count(F.lit(1)).alias("n"))
+    part = lambda f, df: store.once(df.select((F.col("tbl") if "tbl" in df.columns else F.lit(TBL.get(f, 0))).alias("tbl"), "id"), f)
+    df = reduce(DataFrame.unionByName, [part(f, df) for f, df in selected(store, spec).items()])
+    return df.groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pages(store: LogStore, spec: LookupSpec) -> DataFrame:

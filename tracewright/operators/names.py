@@ -17,7 +17,7 @@ def missing_names(names: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 def assign_ids(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     """New dictionary rows: ids go on after the largest, in the order of the names."""
-    last = dictionary.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).collect()[0].m  # one number
+    last = F.coalesce(dictionary.agg(F.max("id")).scalar(), F.lit(0))
     return numbered(missing_names(names, dictionary), last, "name").select(F.col("id").cast("int").alias("id"), "name")
 
 

@@ -31,16 +31,19 @@ def new_payloads(incoming: DataFrame, stored: DataFrame, raw: str = "raw") -> Da
     return i.join(s, same, "left_anti").dropDuplicates(["hash", "size"])
 
 
-def numbered(df: DataFrame, after: int = 0, order: str = "first_ref", coarse: Column | None = None) -> DataFrame:
+RANGES = 128
+
+
+def numbered(df: DataFrame, after: int | Column = 0, order: str = "first_ref", ranges: int = RANGES) -> DataFrame:
     """Dense ids after the largest used one, in the order of a column whose values are unique.
 
-    Rows are numbered within coarse ranges of the column and offset by the sizes of the ranges before, so only one row
-    a range meets in a task. ``coarse`` must rise with the column; by default it is a 65 536th of a number, or the first
-    three characters of a string. It depends on values only, so that a task which is run again gives the same ids.
+    Rows are numbered within ranges of the column and offset by the sizes of the ranges before, so only one row a range
+    meets in a task. The ranges part at a sample of a fixed size, the values of least hash, so they are of like size
+    whatever the values have in common. Ids don't depend on where they part, and a task that is run again gives the same.
     """
-    if coarse is None:
-        coarse = F.substring(order, 1, 3) if df.schema[order].dataType.typeName() == "string" else F.floor(F.col(order) / 65_536)
-    ranged = df.withColumn("_range", coarse)
+    sample = df.select(F.col(order).alias("v")).orderBy(F.xxhash64("v")).limit(ranges - 1)
+    bounds = F.coalesce(sample.agg(F.collect_list("v").alias("b")).scalar(), F.array().cast(T.ArrayType(df.schema[order].dataType)))
+    ranged = df.withColumn("_range", F.array_position(F.sort_array(F.array_append(bounds, F.col(order))), F.col(order)))
     local = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

@@ -42,9 +42,9 @@ def kept(df: DataFrame, family: str, spec: PurgeSpec) -> DataFrame:
 def removed_counts(store: LogStore, spec: PurgeSpec) -> DataFrame:
     """Rows that would go, by table, each entry once; one pass over each table."""
     parts = [
-        store[f].where(condition(spec)).select("id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("family"), "n")
+        store.during(f, condition(spec), spec.start - 1, spec.end).select("id").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(f).alias("family"), "n")
         for f in families(spec)
-        if f not in WORLDLESS or f in store.tables
+        if f not in WORLDLESS or f in store.families
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -52,7 +52,7 @@ def removed_counts(store: LogStore, spec: PurgeSpec) -> DataFrame:
 def purge(store: LogStore, spec: PurgeSpec, folder: str) -> None:
     """Writes the complement of a purge to a new folder (sorted and compacted like any append)."""
     for f in families(spec):
-        if f in store.tables:
+        if f in store.families:
             append(kept(store[f], f, spec), folder, f)
 
 

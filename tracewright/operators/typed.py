@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import codes
 from tracewright.operators import lookup
-from tracewright.plans.spec import LookupSpec, parse_time
+from tracewright.plans.spec import Box, LookupSpec, SpecError, parse_time
 from tracewright.schema import QUIET_ITEMS
 from tracewright.sources.store import LogStore
 
@@ -54,14 +54,16 @@ def _filter(store: LogStore, o: Options) -> Column:
     return reduce(lambda a, b: a & b, keep, F.lit(True))
 
 
-def _cut(df: DataFrame, o: Options) -> DataFrame:
+def _cut(store: LogStore, parts: dict[str, DataFrame], o: Options) -> DataFrame:
     """Newest first where rows are limited; else no order is paid for."""
-    if not (o.limit or o.offset):
-        return df
-    keys = ["time", "tbl", "id"] if "tbl" in df.columns else ["id"]
-    df = df.orderBy(*[F.col(k).desc() for k in keys])
-    df = df.offset(o.offset) if o.offset else df
-    return df.limit(o.limit) if o.limit else df
+    if o.limit:
+        return lookup.newest(store, parts, o.offset, o.limit)
+    df = reduce(DataFrame.unionByName, [store.once(p, f) for f, p in parts.items()])
+    return lookup.ordered(df).offset(o.offset) if o.offset else df
+
+
+def _since(o: Options) -> int:
+    return o.now - o.seconds if o.seconds > 0 else 0
 
 
 def _who(store: LogStore, df: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def _who(store: LogStore, df: DataFrame) -> DataFrame:
 
 def _fetch(store: LogStore, family: str, o: Options, more: Column | None = None) -> DataFrame:
     keep = _filter(store, o)
-    return _who(store, _cut(store.once(store[family].where(keep if more is None else keep & more), family), o))
+    return _who(store, _cut(store, {family: store.during(family, keep if more is None else keep & more, _since(o))}, o))
 
 
 def block_lookup(store: LogStore, o: Options) -> DataFrame:
@@ -88,8 +90,8 @@ def item_lookup(store: LogStore, o: Options) -> DataFrame:
 def inventory_lookup(store: LogStore, o: Options) -> DataFrame:
     """Placed blocks, container and item rows of a player together; all item actions count."""
     keep = _filter(store, o)
-    parts = [store.once(lookup.unified(f, store[f].where(keep & (F.col("action") == 1) if f == "block" else keep), True), f) for f in ("block", "container", "item")]
-    df = _who(store, _cut(reduce(DataFrame.unionByName, parts), o))
+    parts = {f: lookup.unified(f, store.during(f, keep & (F.col("action") == 1) if f == "block" else keep, _since(o)), True) for f in ("block", "container", "item")}
+    df = _who(store, _cut(store, parts, o))
     return df.select("tbl", "id", "time", "user_name", "wid", "x", "y", "z", codes.source(F.col("tbl")).alias("source"), codes.polarity(F.col("tbl"), F.col("action")).alias("gained"), "type", "amount", codes.rolled_back(F.col("rolled_back"), True).alias("rolled_back"))
 
 
@@ -130,21 +132,22 @@ def username_lookup(store: LogStore, o: Options) -> DataFrame:
     df = store["username"] if o.seconds <= 0 else store["username"].where(F.col("time") > o.now - o.seconds)
     if o.user is not None:
         df = df.withColumn("uuid", F.lower("uuid")).join(alias_uuids(store, o.user), "uuid", "left_semi")
-    return _cut(store.once(df, "username"), o).select("id", "time", "uuid", "name")
+    return _cut(store, {"username": df}, o).select("id", "time", "uuid", "name")
 
 
 def has_done(store: LogStore, user: str, place: tuple[int, int, int, int], action: int, now: int, seconds: int, offset: int = 0) -> DataFrame:
     """One row: whether the user placed (1) or removed (0) at the place within the time, up to ``offset`` seconds ago."""
     o = Options(now, seconds, user, place)
-    hit = store["block"].where(_filter(store, o) & (F.col("action") == action) & (F.col("time") <= now - offset)).limit(1)
+    hit = store.during("block", _filter(store, o) & (F.col("action") == action) & (F.col("time") <= now - offset), _since(o), now - offset).limit(1)
     return hit.agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-def queue_lookup(pending: DataFrame, place: tuple[int, int, int, int]) -> DataFrame:
-    """Break and place rows at a place that aren't committed yet, newest first."""
+def queue_lookup(pending: DataFrame, place: tuple[int, int, int, int], limit: int = 0) -> DataFrame:
+    """Break and place rows at a place that aren't committed yet, newest first; ``limit`` of them, 0 for all."""
     w, x, y, z = place
     at = (F.col("wid") == w) & (F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z)
-    return pending.where(at & F.col("action").isin(0, 1)).orderBy(F.col("id").desc())
+    found = pending.where(at & F.col("action").isin(0, 1)).orderBy(F.col("id").desc())
+    return found.limit(limit) if limit else found
 
 
 def raw_rows(store: LogStore, df: DataFrame) -> DataFrame:
@@ -166,13 +169,22 @@ def parse_result(df: DataFrame, result: str = "result") -> DataFrame:
     )
 
 
+def perform_partial_lookup(store: LogStore, now: int, seconds: int, offset: int, limit: int, **lists) -> DataFrame | None:
+    """Rows offset to offset + limit of perform_lookup, newest first; its lists are given by name."""
+    spec = _spec_of(now, seconds, **lists)
+    return None if spec is None else lookup.newest(store, lookup.selected(store, spec), offset, limit)
+
+
 def perform_lookup(store: LogStore, now: int, seconds: int, users: tuple[str, ...] = (), exclude_users: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), actions: tuple[int, ...] = (), radius: int = 0, place: tuple[int, int, int, int] | None = None) -> DataFrame | None:
     """Lookup by lists. Without actions a material means break and place, an entity kills; other families are dropped.
 
     None where #global is asked for without a radius and nothing else limits the rows.
     """
-    from tracewright.plans.spec import Box, SpecError
+    spec = _spec_of(now, seconds, users, exclude_users, include, exclude, actions, radius, place)
+    return None if spec is None else lookup.rows(store, spec)
+
 
+def _spec_of(now: int, seconds: int, users: tuple[str, ...] = (), exclude_users: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), actions: tuple[int, ...] = (), radius: int = 0, place: tuple[int, int, int, int] | None = None) -> LookupSpec | None:
     entities = [w for w in include if w.startswith(lookup.ENTITY)]
     if entities and len(entities) < len(include):
         raise SpecError("blocks and entities can't be mixed")
@@ -180,8 +192,7 @@ def perform_lookup(store: LogStore, now: int, seconds: int, users: tuple[str, ..
     if users == ("#global",) and not radius:
         return None
     box = Box.around(place[1], place[2], place[3], (radius, None, radius)) if radius and place else None
-    spec = LookupSpec(own, tuple(u for u in users if u != "#global"), exclude_users, now - seconds, 0, place[0] if box else None, None, box, None, include, exclude)
-    return lookup.rows(store, spec)
+    return LookupSpec(own, tuple(u for u in users if u != "#global"), exclude_users, now - seconds, 0, place[0] if box else None, None, box, None, include, exclude)
 
 
 def seconds_of(text: str) -> int:
@@ -190,7 +201,7 @@ def seconds_of(text: str) -> int:
 
 def point_history(store: LogStore, family: str, place: tuple[int, int, int, int], since: int, page: int = 1, rows: int = 7, actions: tuple[int, ...] = ()) -> DataFrame:
     """What happened at one place, newest first, a page at a time; inspectors take the old end inclusively (time >=)."""
-    return _who(store, store.once(_at(store, family, place, since, actions), family).orderBy(F.col("id").desc()).offset((page - 1) * rows).limit(rows))
+    return _who(store, lookup.newest(store, {family: _at(store, family, place, since, actions)}, (page - 1) * rows, rows))
 
 
 def point_count(store: LogStore, family: str, place: tuple[int, int, int, int], since: int, rows: int = 7, actions: tuple[int, ...] = ()) -> DataFrame:
@@ -203,4 +214,4 @@ def _at(store: LogStore, family: str, place: tuple[int, int, int, int], since: i
     keep = (F.col("wid") == w) & (F.col("x") == x) & (F.col("z") == z) & (F.col("y") == y) & (F.col("time") >= since)
     if family == "sign":
         keep = keep & (F.col("action") == 1) & codes.sign_written([F.col(f"line_{k}") for k in range(1, 9)])
-    return store[family].where(keep & F.col("action").isin(*actions) if actions else keep)
+    return store.during(family, keep & F.col("action").isin(*actions) if actions else keep, since - 1)

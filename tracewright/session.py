@@ -22,12 +22,17 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tracewright-"))
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoint(): spark.checkpoint.dir where the cluster names one, else (tests) a temporary one."""
+    """The shared folder for checkpoint(), state and outputs: that of spark.checkpoint.dir.
+
+    Where none is named, a temporary one is made in local mode (one machine); on a cluster that is an error, as the
+    executors would each write to their own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -35,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()

@@ -23,12 +23,26 @@ class LogStore:
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
     unique: frozenset[str] = frozenset()
+    #: how a family's table is opened, on its first use
+    sources: dict[str, Callable[[], DataFrame]] = field(default_factory=dict)
 
     def __getitem__(self, family: str) -> DataFrame:
         if family not in self.tables:
-            self.tables[family] = self.spark.createDataFrame([], SCHEMAS[family])
+            self.tables[family] = self.sources[family]() if family in self.sources else self.spark.createDataFrame([], SCHEMAS[family])
         return self.tables[family]
 
+    @property
+    def families(self) -> list[str]:
+        """The families that there are, opened or not."""
+        return sorted({*self.tables, *self.sources})
+
+    def during(self, family: str, keep: Column, start: int = 0, end: int = 0) -> DataFrame:
+        """A family's rows under a condition that implies start < time <= end (0: open).
+
+        Written stores are partitioned by day, which Spark can't derive from the time, so the days are named as well."""
+        df = self[family]
+        return df.where(keep & day_predicate(start, end)).drop("day") if "day" in df.columns else df.where(keep)
+
     def once(self, df: DataFrame, family: str) -> DataFrame:
         """Each entry of a family's rows once; costs a shuffle of these rows only where copies are possible."""
         return df if family in self.unique else once(df)
@@ -38,9 +52,9 @@ class LogStore:
         """The given tables, and derived ones for the families without."""
         store = cls(spark)
         for family, table in fixtures.GIVEN.items():
-            store.tables[family] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+            store.sources[family] = lambda table=table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
         for family in ("item", "session", "sign"):
-            store.tables[family] = fixtures.view(spark, sf_dir, family)
+            store.sources[family] = lambda family=family: fixtures.view(spark, sf_dir, family)
         store.unique = frozenset({"item", "session", "sign"})
         return store
 
@@ -48,8 +62,8 @@ class LogStore:
     def sites(cls, spark: SparkSession, sf_dir: str) -> LogStore:
         """As given(), but with the derived block and container logs, whose locations have long histories."""
         store = cls.given(spark, sf_dir)
-        store.tables["block"] = fixtures.view(spark, sf_dir, "site_block")
-        store.tables["container"] = fixtures.view(spark, sf_dir, "site_container")
+        for family in ("block", "container"):
+            store.sources[family] = lambda family=family: fixtures.view(spark, sf_dir, f"site_{family}")
         store.unique |= {"block", "container"}
         return store
 
@@ -92,8 +106,8 @@ def append(df: DataFrame, folder: str, family: str, rows_per_file: int = 5_000_0
     writer_columns: list[str] = []
     if family in POSITIONAL:
         out = out.withColumn("day", day_of(F.col("time")))
-        # place spreads a hot world-day over tasks; files stay sorted for row-group statistics
-        out = out.repartition("wid", "day", F.floor(F.col("x") / 512), F.floor(F.col("z") / 512)).sortWithinPartitions("wid", "day", "x", "z", "time")
+        # place spreads a hot world-day over tasks, the hour a hot place; files stay sorted for row-group statistics
+        out = out.repartition("wid", "day", F.floor(F.col("x") / 512), F.floor(F.col("z") / 512), F.floor(F.col("time") / 3600)).sortWithinPartitions("wid", "day", "x", "z", "time")
         writer_columns = ["wid", "day"]
     else:
         out = out.select(*columns)
