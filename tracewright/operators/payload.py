@@ -108,3 +108,37 @@ def backfill_counts(tables: list[tuple[str, DataFrame, str, str]], batch: int =
         n = due_for_backfill(df, inline, ref).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("target"), "n", F.ceil(F.col("n") / batch).cast("long").alias("batches"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+STORED = "id bigint, hash string, size int, codec int, data binary"
+
+
+def store(incoming: DataFrame, stored: DataFrame | None, raw: str = "raw", enabled: bool = True) -> DataFrame:
+    """The rows to append to the payload store (id, hash, size, codec, data): each new content once, numbered after the last.
+
+    Contents are told apart by hash, size and, among those, their bytes. Ids follow the order of hashes."""
+    i = hashed(incoming.select(F.col(raw).cast("binary").alias("raw")).where(F.col(raw).isNotNull())).dropDuplicates(["hash", "size"])
+    last: Column | int = 0
+    if stored is not None:
+        known = stored.select("hash", "size")
+        i = i.join(known, ["hash", "size"], "left_anti")
+        last = F.coalesce(stored.agg(F.max("id")).scalar(), F.lit(0))
+    new = numbered(encoded(i, "raw", enabled), last, "hash")
+    return new.select("id", "hash", F.col("size").cast("int").alias("size"), F.col("codec").cast("int").alias("codec"), "data")
+
+
+def backfill(df: DataFrame, stored: DataFrame | None, inline: str, ref: str, most: int = 0, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Moves inline values into the store: the rows with their references set and inline values emptied, and the whole store.
+
+    ``most`` rows are moved at a time, those of the lowest ids (0: all). A run that is repeated, or goes on after one that
+    broke off, finds only what is still inline and stores nothing twice."""
+    due = due_for_backfill(df, inline, ref)
+    if most:
+        due = due.orderBy(id_col).limit(most)
+    moving = due.select(id_col, F.col(inline).cast("binary").alias("raw"))
+    new = store(moving, stored)
+    whole = new if stored is None else stored.unionByName(new)
+    refs = hashed(moving).join(whole.select(F.col("id").alias("_ref"), "hash", "size"), ["hash", "size"]).select(F.col(id_col).alias("_id"), "_ref")
+    out = df.join(refs, df[id_col] == refs["_id"], "left")
+    moved = F.col("_ref").isNotNull()
+    return out.select(*[(F.coalesce("_ref", ref) if c == ref else F.when(~moved, F.col(c)) if c == inline else F.col(c)).alias(c) for c in df.columns]), whole

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import codes
 from tracewright.operators import lookup
 from tracewright.operators.asof import PLACE
-from tracewright.plans.spec import LookupSpec
+from tracewright.plans.spec import TAGS, LookupSpec
 from tracewright.schema import BLOCK_BIT, INVENTORY_BIT
 from tracewright.sources.store import LogStore
 
@@ -32,7 +32,7 @@ class RevertPlan:
     restore: bool = False
     preview: bool = False
     entities: bool = True
-    items: bool = False
+    items: bool = True
 
     def undo(self) -> RevertPlan:
         return replace(self, restore=not self.restore, preview=False)
@@ -43,20 +43,37 @@ class RevertPlan:
     def cancel(self) -> RevertPlan:
         return replace(self, preview=True)
 
+    @property
+    def places_container(self) -> bool:
+        """Whether placings of a container type are asked for (and not left out): what was put in goes with it."""
+        s = self.spec
+        return 1 in s.actions and any(w not in s.exclude and (w == "#container" or w.endswith(TAGS["#container"])) for w in s.include)
+
     @property
     def families(self) -> list[str]:
-        """Tables that are scanned: containers alone when asked for, else blocks, and items when the settings say so."""
-        a = self.spec.actions
-        if self.spec.inventory:
-            return lookup.branches(self.spec)
-        if 4 in a or 5 in a:
-            return ["container"]
-        return ["block"] + (["container", "item"] if self.items and (not a or 4 in a) else [])
+        """Tables that are scanned: blocks unless containers alone are asked for; containers as well, when the settings
+        say so, for all actions, container actions, or placed containers, but in no preview."""
+        s = self.spec
+        if s.inventory:
+            return lookup.branches(s)
+        if "#container" in s.users:
+            return []
+        contents = self.items and not self.preview and (not s.actions or 4 in s.actions or self.places_container)
+        return ["block"] * (not {4, 5} & {*s.actions}) + ["container"] * contents
+
+    def spec_of(self, family: str) -> LookupSpec:
+        """The filter of a family: contents come without the types that a placed container stands for, and without
+        excludes that were added by themselves."""
+        s = self.spec
+        if family != "container" or s.inventory:
+            return s
+        s = replace(s, actions=s.actions if 4 in s.actions else (*s.actions, 4), exclude=tuple(w for w in s.exclude if w not in s.auto_excluded))
+        return replace(s, include=(), exclude=()) if self.places_container else s
 
 
 def selection(store: LogStore, plan: RevertPlan, family: str = "block") -> DataFrame:
     """The selected rows of a family: clicks never, kills only if entities are reverted; an inventory keeps all."""
-    df = store.once(lookup.Planner(store, plan.spec).rows(family), family)
+    df = store.once(lookup.Planner(store, plan.spec_of(family)).rows(family), family)
     if family == "block" and not plan.spec.inventory:
         df = df.where(~F.col("action").isin(*((2,) if plan.entities else (2, 3))))
     return df

@@ -43,11 +43,18 @@ def eager_join(
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     a = key_states(left, left_key, left_sums, "left_")
-    b = key_states(right, right_key, right_sums, "right_").where(F.col("key_value").isNotNull())
-    j = a.join(b, "key_value", how) if how == "left" else a.where(F.col("key_value").isNotNull()).join(b, "key_value")
+    b = key_states(right, right_key, right_sums, "right_")
+    return join_states(a, b, ["key_value"], left_sums, right_sums, how)
+
+
+def join_states(a: DataFrame, b: DataFrame, keys: list[str], left_sums: list[str] | None = None, right_sums: list[str] | None = None, how: str = "inner") -> DataFrame:
+    """eager_join of inputs that are compact states already: left_n, left_sum_x and right_n, right_sum_x a key."""
+    known = lambda d: reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    b = b.where(known(b))
+    j = a.join(b, keys, how) if how == "left" else a.where(known(a)).join(b, keys)
     times = F.coalesce(F.col("right_n"), F.lit(1 if how == "left" else 0))
     out = [
-        F.col("key_value"),
+        *[F.col(k) for k in keys],
         F.col("left_n"),
         F.coalesce("right_n", F.lit(0)).cast("long").alias("right_n"),
         (F.col("left_n") * times).alias("pairs"),
@@ -69,9 +76,12 @@ def key_shares(entries: DataFrame, keys: dict[str, DataFrame], dim_key: str = "i
     """Count and share of the entries for each value of each key column, next to its dimension row count.
 
     ``keys`` maps a key column to its dimension. Entries are netted by id and aggregated at once to
-    the distinct combinations of all key columns (the finest compact state), which then roll up to each key and
-    to the total; states, not entries, meet the dimensions. Gives key_field, key_value, n, known (dimension rows),
-    total; a null key value is kept as a row of its own, so that the n of a field add up to the total.
+    the distinct combinations of all key columns (the finest compact state), which roll up to a state for each key.
+    Dimensions become one state a key as well. The states meet in a left join, whose row counts follow by multiplying
+    them; every dimension row of a key joins all of its entries, so the joined count over the dimension's gives the
+    key's entries, however many rows the dimension has for it. Joined states roll up to the total of each field.
+    Gives key_field, key_value, n, known (dimension rows), total; a null key value is kept as a row of its own, so that
+    the n of a field add up to the total.
     """
     names = list(keys)
     kinds = {entries.schema[k].dataType.simpleString() for k in names}
@@ -79,22 +89,15 @@ def key_shares(entries: DataFrame, keys: dict[str, DataFrame], dim_key: str = "i
         raise ValueError("the key columns must be of one type")
     kind = kinds.pop()
     once = entries.select(F.col(id_col).alias("entry"), *names).groupBy("entry", *names).agg(F.lit(1).alias("one"))
-    fine = once.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    parts = F.explode(F.array(
-        F.struct(F.lit("").alias("key_field"), F.lit(None).cast(kind).alias("key_value")),
-        *[F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_value")) for k in names],
-    ))
-    coarse = fine.select(parts.alias("k"), "n").groupBy("k.key_field", "k.key_value").agg(F.sum("n").alias("n"))
-    known = reduce(
-        DataFrame.unionByName,
-        [key_states(d, dim_key, prefix="").select(F.lit(k).alias("key_field"), F.col("key_value").cast(kind).alias("key_value"), F.col("n").alias("known")) for k, d in keys.items()],
-    )
-    total = coarse.where(F.col("key_field") == "").select("n").scalar()
-    return (
-        coarse.where(F.col("key_field") != "")
-        .join(known, ["key_field", "key_value"], "left")
-        .select("key_field", "key_value", "n", F.coalesce("known", F.lit(0)).cast("long").alias("known"), F.coalesce(total, F.lit(0)).alias("total"))
-    )
+    fine = once.groupBy(*names).agg(F.count(F.lit(1)).alias("left_n"))
+    by = ["key_field", "key_value"]
+    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_value")) for k in names]))
+    left = roll_up(fine.select(parts.alias("k"), "left_n").select("k.*", "left_n"), by)
+    right = reduce(DataFrame.unionByName, [key_states(d, dim_key, prefix="right_").select(F.lit(k).alias("key_field"), F.col("key_value").cast(kind).alias("key_value"), "right_n") for k, d in keys.items()])
+    joined = join_states(left, right, by, how="left")
+    states = joined.select(*by, (F.col("pairs") / F.greatest(F.col("right_n"), F.lit(1))).cast("long").alias("n"), F.col("right_n").alias("known"))
+    total = states.groupBy("key_field").agg(F.sum("n").alias("total"))
+    return states.join(total, "key_field").select(*by, "n", "known", "total")
 
 
 def heavy_keys(shares: DataFrame, at_least: float = 0.03) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.frames import once
 from tracewright.operators import asof, commands, lookup, migrate, names, payload, retain, revert, suppress
-from tracewright.plans.spec import Box, LookupSpec, PurgeSpec
+from tracewright.plans.spec import TAGS, Box, LookupSpec, PurgeSpec
 from tracewright.sources import fixtures, listeners
 from tracewright.sources.fixtures import NOW, with_views
 from tracewright.sources.store import Blacklist, LogStore
@@ -102,6 +103,35 @@ def delayed_confirmation(spark, d):
 
 # ---- rollback
 
+_ITEM_FRAME = "SELECT 'block' AS family, id FROM sel WHERE action <> 2 UNION ALL SELECT 'container', id FROM csel"
+
+
+def _families(spark: SparkSession, d: str, plan: revert.RevertPlan) -> DataFrame:
+    s = _sites(spark, d)
+    parts = [revert.selection(s, plan, f).select(F.lit(f).alias("family"), "id") for f in plan.families]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"{_S}, {_SEL}, csel AS (SELECT * FROM site_container_ WHERE time > {NOW - 9 * DAY} AND wid = 2 AND x BETWEEN -6 AND 6 AND z BETWEEN -5 AND 5) {_ITEM_FRAME}")
+def rollback_items_default(spark, d):
+    """Without actions the contents of containers are rolled back as well."""
+    return _families(spark, d, revert.RevertPlan(_SPEC))
+
+
+@query(f"{_S}, {_SEL} SELECT 'block' AS family, id FROM sel")
+def rollback_items_preview(spark, d):
+    """A preview reads blocks alone."""
+    return _families(spark, d, revert.RevertPlan(_SPEC, preview=True))
+
+
+@query(f"""{_S.replace('WITH ', 'WITH types AS (SELECT id FROM dim_material WHERE regexp_matches(lower(name), ' + repr('(' + '|'.join(TAGS['#container']) + ')$') + ')), ', 1)}
+ SELECT 'block' AS family, id FROM site_block_ WHERE time > {NOW - 9 * DAY} AND action = 1 AND type IN (SELECT id FROM types)
+ UNION ALL SELECT 'container', id FROM site_container_ WHERE time > {NOW - 9 * DAY} AND action = 1""")
+def rollback_items_container_placed(spark, d):
+    """Placed containers take what was put in with them, of whatever type."""
+    return _families(spark, d, revert.RevertPlan(LookupSpec((1,), start=NOW - 9 * DAY, include=("#container",))))
+
+
 _SEL_BLOCK = f"{_S}, {_SEL}"
 
 
@@ -435,6 +465,12 @@ def migrate_orphan_users(spark, d):
     return migrate.inactive_users(s["user"], [s[f] for f in ("block", "container", "chat", "command", "session")]).select("id")
 
 
+@query("SELECT id FROM dim_user WHERE id NOT IN (SELECT user_id FROM log_command WHERE user_id IS NOT NULL)")
+def migrate_users_without_commands(spark, d):
+    s = LogStore.given(spark, d)
+    return migrate.inactive_users(s["user"], [s["command"]]).select("id")
+
+
 _FIRST = f"SELECT b.id, min(s.id) AS sid FROM site_block_ b JOIN sign_ s ON b.action = 1 AND s.user_id = b.user_id AND s.wid = b.wid AND s.x = b.x AND s.y = b.y AND s.z = b.z AND s.time >= b.time GROUP BY b.id"
 
 
@@ -521,3 +557,65 @@ def rollback_placed(spark, d):
     """Rows that a rollback of placings would undo."""
     out = commands.rollback(_sites(spark, d), LookupSpec((1,), start=_SPEC.start, wid=_SPEC.wid, box=_SPEC.box))
     return out["block_states"].select("id", "type")
+
+
+# ---- over the given logs, with re-delivered rows and nulls
+
+
+def _given(spark: SparkSession, d: str, family: str) -> DataFrame:
+    s = LogStore.given(spark, d)
+    return s.once(s[family], family)
+
+
+_G = with_views("block", "container")
+
+
+@query(f"{_G}, o AS (SELECT *, row_number() OVER (PARTITION BY wid, x, y, z ORDER BY id) AS k FROM block_ WHERE action IN (0, 1)) SELECT wid, x, y, z, CASE WHEN action = 1 THEN 0 ELSE type END AS target_type FROM o WHERE k = 1")
+def rollback_block_target_given(spark, d):
+    return revert.block_targets(_given(spark, d, "block")).select(*asof.PLACE, "target_type")
+
+
+@query(f"{_G} SELECT wid, x, y, z, type, metadata, CAST(sum(CASE WHEN action = 1 THEN -amount ELSE amount END) AS BIGINT) AS net FROM container_ WHERE action <= 1 AND coalesce(rolled_back, 0) & 1 = 0 GROUP BY ALL HAVING sum(CASE WHEN action = 1 THEN -amount ELSE amount END) <> 0")
+def rollback_container_net_given(spark, d):
+    return revert.container_net(_given(spark, d, "container"))
+
+
+@query(f"{_G}, g AS (SELECT *, CASE WHEN time - lag(time) OVER w > 900 THEN 1 ELSE 0 END AS f FROM block_ WHERE time IS NOT NULL WINDOW w AS (PARTITION BY wid, type ORDER BY time, id)), s AS (SELECT *, sum(f) OVER (PARTITION BY wid, type ORDER BY time, id) AS st FROM g), n AS (SELECT id, row_number() OVER (PARTITION BY wid, type, st ORDER BY time, id) AS n FROM s) SELECT id FROM n WHERE n <= 3")
+def suppress_repeat_given(spark, d):
+    rows = _given(spark, d, "block").where("time IS NOT NULL").select("id", "time", "wid", "type")
+    return suppress.suppress_repeats(rows, ["wid", "type"], 3, 900).select("id")
+
+
+@query(f"{_G}, l AS (SELECT *, lag(type) OVER w AS lt, lag(time) OVER w AS lm FROM block_ WHERE action = 1 AND time IS NOT NULL WINDOW w AS (PARTITION BY wid, x, y, z ORDER BY time, id)) SELECT id FROM l WHERE NOT coalesce(lt = type AND time - lm <= 90000, false)")
+def suppress_unchanged_given(spark, d):
+    return suppress.changes_only(_given(spark, d, "block").where("action = 1 AND time IS NOT NULL"), ttl=90_000).select("id")
+
+
+@query(f"{_G}, p AS (SELECT id, time, wid, x, y, z FROM block_ WHERE action = 0), b AS (SELECT * FROM block_ WHERE action = 1 AND time IS NOT NULL AND wid IS NOT NULL) SELECT p.id, (SELECT arg_max(b.user_id, (b.time, b.id)) FROM b WHERE b.wid = p.wid AND b.x = p.x AND b.y = p.y AND b.z = p.z AND b.time <= p.time AND b.user_id IS NOT NULL) AS user_id FROM p")
+def last_placer_given(spark, d):
+    """For each break of the given log the last known user who placed at its place up to then."""
+    rows = _given(spark, d, "block").select("id", "time", "user_id", *asof.PLACE, "action")
+    got = asof.as_of(rows.where("action = 0"), rows.where("action = 1 AND user_id IS NOT NULL"), asof.PLACE, ["user_id"], inclusive=True, by_time=True)
+    return got.select("id", F.col("base_user_id").alias("user_id"))
+
+
+# ---- payloads stored and moved
+
+_RAW = "SELECT CAST(doc_id + 1 AS BIGINT) AS ref_id, text AS raw FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"WITH r AS ({_RAW}), u AS (SELECT DISTINCT raw FROM r) SELECT sha256(raw) AS hash, CAST(octet_length(encode(raw)) AS INT) AS size FROM u")
+def payload_store(spark, d):
+    """New payloads of all texts over a store that holds every second of them already: each is there once afterwards."""
+    src = fixtures.view(spark, d, "payload_source").where("raw IS NOT NULL")
+    old = payload.store(src.where("ref_id % 2 = 0"), None)
+    new = payload.store(src, old)
+    return old.unionByName(new).select("hash", "size")
+
+
+@query(f"{with_views('block')} SELECT id, blockdata AS value FROM block_ WHERE blockdata IS NOT NULL")
+def payload_backfill(spark, d):
+    """Inline block data moved to payloads and resolved again."""
+    rows = _given(spark, d, "block").withColumn("meta_payload_id", F.lit(None).cast("long"))
+    moved, stored = payload.backfill(rows, None, "blockdata", "meta_payload_id")
+    return payload.resolved(moved, payload.decoded(stored), "blockdata", "meta_payload_id").where("value IS NOT NULL").select("id", "value")

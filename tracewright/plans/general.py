@@ -36,7 +36,13 @@ def p4_user_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
-    return features.entity_table(features.state_of(table(spark, d, "log_block")))
+    return features.entity_table(features.maintained(table(spark, d, "log_block"), PURGE_BEFORE))
+
+
+def p5_feature_text(spark: SparkSession, d: str) -> DataFrame:
+    """p5_features with the features of a user as text, one after the other."""
+    one = F.transform("features", lambda f: F.concat_ws(":", *[F.coalesce(f[c].cast("string"), F.lit("-")) for c in ("action", "type", "n", "last_time", "n_rolled")]))
+    return p5_features(spark, d).select("user_id", "n", "n_rolled", "last_time", "n_features", F.array_join(F.array_sort(one), ",").alias("features"))
 
 
 def p5_feature_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +78,7 @@ def p7_sessions(spark: SparkSession, d: str) -> DataFrame:
     return _user_sessions(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_key_totals, p4_user_pairs, p5_features, p5_feature_rows, p5_after_purge, p6_found, p6_versions, p7_found, p7_sessions)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_key_totals, p4_user_pairs, p5_features, p5_feature_text, p5_feature_rows, p5_after_purge, p6_found, p6_versions, p7_found, p7_sessions)}
 
 _ONCE = "SELECT DISTINCT * FROM log_block"
 _KEYS = f"""WITH e AS (SELECT DISTINCT id, user_id, wid FROM log_block), t AS (SELECT count(*) AS total FROM e),
@@ -94,6 +100,9 @@ ORACLE = {
     "p4_user_pairs": """SELECT b.user_id, b.n AS n_block, c.n AS n_container, b.n * c.n AS pairs, CAST(b.n * c.s AS BIGINT) AS joined_sum_amount
  FROM (SELECT user_id, count(DISTINCT id) AS n FROM log_block GROUP BY 1) b
  JOIN (SELECT user_id, count(*) AS n, sum(amount) AS s FROM (SELECT DISTINCT id, user_id, amount FROM log_container) q GROUP BY 1) c USING (user_id)""",
+    "p5_feature_text": f"""SELECT user_id, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n_rolled) AS BIGINT) AS n_rolled, max(last_time) AS last_time, count(*) AS n_features,
+ array_to_string(list_sort(list(concat_ws(':', coalesce(CAST(action AS VARCHAR), '-'), coalesce(CAST(type AS VARCHAR), '-'), CAST(n AS VARCHAR), coalesce(CAST(last_time AS VARCHAR), '-'), CAST(n_rolled AS VARCHAR)))), ',') AS features
+ FROM ({_FEATURES} GROUP BY 1, 2, 3) q GROUP BY user_id""",
     "p5_feature_rows": f"{_FEATURES} GROUP BY 1, 2, 3",
     "p5_after_purge": f"{_FEATURES} AND (time IS NULL OR time >= {PURGE_BEFORE}) GROUP BY 1, 2, 3",
     "p6_found": f"{_VERSIONS} SELECT DISTINCT uuid, name, valid_from FROM v",

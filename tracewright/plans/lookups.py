@@ -323,6 +323,11 @@ def api_perform_lookup(spark, d):
     return typed.perform_lookup(LogStore.given(spark, d), NOW, 6 * DAY, users=("Quarrel_Finch",)).select(*BLOCK)
 
 
+@query(f"{_ALL} SELECT {_B} FROM block_ WHERE time > {NOW - 6 * DAY} AND action IN (0, 1) AND user_id = {_uid('quarrel_finch')} ORDER BY id DESC LIMIT 20 OFFSET 10")
+def api_perform_partial_lookup(spark, d):
+    return typed.perform_partial_lookup(LogStore.given(spark, d), NOW, 6 * DAY, 10, 20, users=("Quarrel_Finch",)).select(*BLOCK)
+
+
 @query(f"""{_ALL} SELECT t.id, t.time * 1000 AS timestamp, coalesce(u.name, '') AS player, t.x, t.y, t.z, t.type, t.data, t.action AS action_id, CASE t.action WHEN 0 THEN 'break' WHEN 1 THEN 'place' WHEN 2 THEN 'click' WHEN 3 THEN 'kill' ELSE 'unknown' END AS action,
  coalesce(t.rolled_back & 1, 0) <> 0 AS rolled_back, t.wid, t.amount, coalesce(t.metadata, '') AS metadata FROM u_ t LEFT JOIN user_ u ON u.id = t.user_id WHERE t.time > {NOW - 2 * DAY} AND (t.tbl < 2 OR t.action NOT IN (8, 9, 10, 11, 12))""")
 def api_parse_result(spark, d):

@@ -79,6 +79,7 @@ class LookupSpec:
     page: int = 1
     rows: int = 7
     flags: frozenset[str] = field(default_factory=frozenset)
+    auto_excluded: tuple[str, ...] = ()  # those of the excludes which were added by settings, not asked for
 
     @property
     def inventory(self) -> bool:
