@@ -66,15 +66,38 @@ def group_events(df: DataFrame, group: str, keys: list[str], ttl: int = PISTON_T
     return df.join(logged, group, "left_semi")
 
 
-def merge_item_transactions(df: DataFrame, gap: int = 1, time: str = "time", id_col: str = "id") -> DataFrame:
-    """Item rows of a user at a place in bursts (gaps of at most ``gap`` seconds) become one row an action and item."""
+def merge_item_transactions(df: DataFrame, gap: int = 1, time: str = "time", id_col: str = "id", bucket_seconds: int = DAY) -> DataFrame:
+    """Item rows of a user at a place in bursts (gaps of at most ``gap`` seconds) become one row an action and item.
+
+    Bursts are counted in (user, place, time bucket) groups; what earlier buckets started comes from one row a bucket.
+    """
     keys = ["user_id", *PLACE]
-    w = Window.partitionBy(*keys).orderBy(time, id_col)
-    s = df.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) <= gap, 0).otherwise(1)).withColumn("burst", F.sum("_new").over(w))
+    group = [*keys, "_b"]
+    w = Window.partitionBy(*group).orderBy(time, id_col)
+    rows = df.withColumn("_b", bucket(F.col(time), bucket_seconds))
+    s = rows.withColumn("_new", F.when(F.col(time) - F.lag(time).over(w) > gap, 1).otherwise(0)).withColumn("_s", F.sum("_new").over(w))
+    per = Window.partitionBy(*keys).orderBy("_b")
+    sums = s.groupBy(*group).agg(F.min(time).alias("first"), F.max(time).alias("last"), F.max("_s").alias("inner"))
+    sums = sums.withColumn("fresh", F.coalesce(F.col("first") - F.lag("last").over(per) > gap, F.lit(True)).cast("int"))
+    sums = sums.select(*group, (F.sum(F.col("fresh") + F.col("inner")).over(per) - F.col("inner")).alias("_first"))
+    same = reduce(lambda a, c: a & c, [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in group])
+    s = s.alias("r").join(sums.alias("c"), same).select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("_first") + F.col("_s")).alias("burst"))
     rank = reduce(lambda c, x: c.when(F.col("action") == x[1], x[0]), enumerate(ITEM_ORDER), F.when(F.lit(False), -1)).otherwise(len(ITEM_ORDER))
     return s.groupBy(*keys, "burst", "action", "type", "metadata").agg(F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.sum("amount").alias("amount")).withColumn("rank", rank)
 
 
+def instance(df: DataFrame, name: str) -> DataFrame:
+    """Repeat suppression of a named source: its keys, threshold, and the smaller of its window and its state's life.
+
+    Flow counts a change and its way back as one, so its key is the pair of both states.
+    """
+    threshold, window, life = REPEATS[name]
+    if name == "flow":
+        keyed = df.withColumn("_pair", symmetric("old_type", "type"))
+        return suppress_repeats(keyed, [*PLACE, "_pair"], threshold, min(window, life)).drop("_pair")
+    return suppress_repeats(df, [*PLACE, "type"], threshold, min(window, life))
+
+
 def stacked(df: DataFrame, keys: list[str], item: list[str] = ("type", "metadata"), amount: str = "amount") -> DataFrame:
     return df.groupBy(*keys, *item).agg(F.sum(amount).alias(amount))
 

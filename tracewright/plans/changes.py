@@ -416,6 +416,21 @@ def listener_rows(spark, d):
     return listeners.to_rows(e).select("family", "time", "actor", "action", "type")
 
 
+_CAUSE = "CASE id % 5 WHEN 0 THEN 'creeper' WHEN 1 THEN 'TNT' WHEN 2 THEN 'fireball' WHEN 3 THEN 'lava' ELSE NULL END"
+_KIND = "CASE id % 3 WHEN 0 THEN 'entity_explode' WHEN 1 THEN 'block_from_to' ELSE 'entity_death' END"
+
+
+@query(f"""{_S}, e AS (SELECT id, {_KIND} AS event, lower({_CAUSE}) AS cause, type FROM site_block_)
+ SELECT id AS time, CASE event WHEN 'entity_explode' THEN CASE cause WHEN 'creeper' THEN '#creeper' WHEN 'tnt' THEN '#tnt' ELSE '#explosion' END
+ WHEN 'block_from_to' THEN CASE cause WHEN 'lava' THEN '#lava' ELSE '#flow' END ELSE CASE WHEN cause = 'lava' THEN '#lava' WHEN cause IS NOT NULL THEN '#' || cause END END AS actor,
+ CASE event WHEN 'entity_explode' THEN 0 WHEN 'block_from_to' THEN 1 ELSE 3 END AS action FROM e""")
+def listener_causes(spark, d):
+    """Actors by what exploded, flowed or killed."""
+    b = _sites(spark, d)["block"]
+    e = b.select(F.expr(_KIND).alias("event"), F.col("id").alias("time"), F.lit(None).cast("string").alias("user"), *asof.PLACE, F.expr(_CAUSE).alias("cause"), F.col("type").alias("old_type"), F.col("type").alias("new_type"))
+    return listeners.to_rows(e).select("time", "actor", "action")
+
+
 @query(f"{_S}, c AS (SELECT time, wid, x, y, z, type % 3 AS o, (type + 1) % 3 AS n FROM site_block_ WHERE action = 1) SELECT time, {_PLACE}, 0 AS action, o AS type FROM c WHERE o <> n AND o <> 0 UNION ALL SELECT time, {_PLACE}, 1, n FROM c WHERE o <> n AND n <> 0")
 def bulk_edit_rows(spark, d):
     c = _sites(spark, d)["block"].where("action = 1").select("time", *asof.PLACE, F.lit("editor").alias("user"), (F.col("type") % 3).alias("old_type"), ((F.col("type") + 1) % 3).alias("new_type"))
@@ -559,6 +574,16 @@ def rollback_placed(spark, d):
     return out["block_states"].select("id", "type")
 
 
+@query(f"""{_S}, r AS (SELECT *, least(type, data) AS lo, greatest(type, data) AS hi FROM site_block_ WHERE action = 1),
+ g AS (SELECT *, CASE WHEN time - lag(time) OVER (PARTITION BY wid, x, y, z, lo, hi ORDER BY time, id) > 900 THEN 1 ELSE 0 END AS f FROM r),
+ s AS (SELECT *, sum(f) OVER (PARTITION BY wid, x, y, z, lo, hi ORDER BY time, id) AS st FROM g),
+ n AS (SELECT id, row_number() OVER (PARTITION BY wid, x, y, z, lo, hi, st ORDER BY time, id) AS n FROM s) SELECT id FROM n WHERE n <= 512""")
+def suppress_flow(spark, d):
+    """The instance of flow: a change and its way back count together."""
+    b = _sites(spark, d)["block"].where("action = 1").withColumn("old_type", F.col("data"))
+    return suppress.instance(b, "flow").select("id")
+
+
 # ---- over the given logs, with re-delivered rows and nulls
 
 

@@ -1,15 +1,17 @@
 """Streaming forms of repeat suppression and change filter, with state for each key; the group check has none.
 
-The state machine of a key is a plain class (State*), so that the batch form, the stream and the tests share what it
-does. Rows of a key are taken in (time, id) order within a micro-batch; across micro-batches arrival order counts.
-State lives in the state store and is dropped when the key was idle for its life (processing by event time needs a
-watermark on the input, which also bounds the state).
+What a key's state does is a plain class, so that streams and tests share it. Rows of a key are taken in (time, id)
+order within a micro-batch, all at once in arrays; across micro-batches arrival order counts. State lives in the state
+store: two numbers a key, dropped when the key was idle for TTL_FACTOR times its life in processing time (a stream may
+lag behind its events). Expiry keeps a query running batches without data, so runs that end with their data (drain) turn
+it off with ``expire=False``; their state ends with them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,50 +19,57 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
+TTL_FACTOR = 4
+State = tuple[int, int] | None
+
+
 class Repeats:
-    """Counts the rows of a stretch with gaps of at most ``window`` seconds; the first ``threshold`` pass."""
+    """Counts the rows of a stretch with gaps of at most ``window`` seconds; the first ``threshold`` pass. State: last time, count."""
 
     def __init__(self, threshold: int, window: int):
         self.threshold, self.window = threshold, window
 
-    def step(self, state: tuple[int, int] | None, time: int) -> tuple[tuple[int, int], bool]:
-        n = min(state[1] + 1, self.threshold + 1) if state and time - state[0] <= self.window else 1
-        return (time, n), n <= self.threshold
+    def run(self, state: State, time: np.ndarray, value: np.ndarray | None, reset: np.ndarray) -> tuple[State, np.ndarray]:
+        goes_on = np.zeros(len(time), bool)
+        goes_on[1:] = np.diff(time) <= self.window
+        goes_on[:1] = state is not None and time[0] - state[0] <= self.window
+        at = np.arange(len(time))
+        start = np.maximum.accumulate(np.where(goes_on, -1, at))
+        n = np.where(start < 0, at + 1 + (state[1] if state else 0), at - start + 1)
+        return (int(time[-1]), int(min(n[-1], self.threshold + 1))), n <= self.threshold
 
 
 class Changes:
-    """Passes a row unless the row before had the same value at most ``ttl`` seconds earlier."""
+    """Passes a row unless the row before had the same value at most ``ttl`` seconds earlier; a reset forgets. State: last time, value."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
-    def step(self, state: tuple[int, int] | None, time: int, value: int) -> tuple[tuple[int, int], bool]:
-        return (time, value), not (state and state[1] == value and time - state[0] <= self.ttl)
+    def run(self, state: State, time: np.ndarray, value: np.ndarray | None, reset: np.ndarray) -> tuple[State, np.ndarray]:
+        passes = ~reset
+        same = (value[1:] == value[:-1]) & (np.diff(time) <= self.ttl) & ~reset[:-1]
+        passes[1:] &= ~same
+        if state is not None:
+            passes[0] &= not (state[1] == value[0] and time[0] - state[0] <= self.ttl)
+        return (None if reset[-1] else (int(time[-1]), int(value[-1]))), passes
 
 
 class _Processor(StatefulProcessor):
     state_schema = "time bigint, n bigint"
 
-    def __init__(self, machine, value: str | None, life_seconds: int, reset: tuple[str, int] | None = None):
-        self.machine, self.value, self.life, self.reset = machine, value, life_seconds, reset
+    def __init__(self, machine, value: str | None, life_seconds: int, reset: tuple[str, int] | None = None, expire: bool = True):
+        self.machine, self.value, self.life, self.reset, self.expire = machine, value, life_seconds, reset, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("s", self.state_schema)
+        self.state = handle.getValueState("s", self.state_schema, 1000 * TTL_FACTOR * self.life if self.expire else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         all_rows = pd.concat(list(rows), ignore_index=True).sort_values(["time", "id"], kind="stable")
         state = self.state.get() if self.state.exists() else None
         state = (int(state[0]), int(state[1])) if state is not None else None
-        keep = []
-        for r in all_rows.itertuples(index=False):
-            if self.reset and getattr(r, self.reset[0]) == self.reset[1]:
-                state = None
-                keep.append(False)
-                continue
-            args = (int(r.time),) if self.value is None else (int(r.time), int(getattr(r, self.value)))
-            state, passes = self.machine.step(state, *args)
-            keep.append(passes)
+        reset = (all_rows[self.reset[0]] == self.reset[1]).to_numpy(bool) if self.reset else np.zeros(len(all_rows), bool)
+        state, keep = self.machine.run(state, all_rows["time"].to_numpy(np.int64), None if self.value is None else all_rows[self.value].to_numpy(), reset)
         if state is not None:
             self.state.update(state)
         else:
@@ -73,20 +82,20 @@ class _Processor(StatefulProcessor):
 
 def _stream(df: DataFrame, keys: list[str], processor: _Processor) -> DataFrame:
     schema: StructType = df.schema
-    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if processor.expire else "None")
 
 
-def suppress_repeats(stream: DataFrame, keys: list[str], threshold: int, window: int) -> DataFrame:
-    return _stream(stream, keys, _Processor(Repeats(threshold, window), None, window))
+def suppress_repeats(stream: DataFrame, keys: list[str], threshold: int, window: int, expire: bool = True) -> DataFrame:
+    return _stream(stream, keys, _Processor(Repeats(threshold, window), None, window, None, expire))
 
 
-def changes_only(stream: DataFrame, keys: list[str], value: str = "type", ttl: int = 1800, reset: tuple[str, int] | None = None) -> DataFrame:
+def changes_only(stream: DataFrame, keys: list[str], value: str = "type", ttl: int = 1800, reset: tuple[str, int] | None = None, expire: bool = True) -> DataFrame:
     """Drops rows whose key had the same value within ttl seconds before.
 
     Rows that hold ``reset`` (a column and its value) make the key forget and are dropped themselves; they are rows of the
     same stream, so that they are taken in order with the others.
     """
-    return _stream(stream, keys, _Processor(Changes(ttl), value, ttl, reset))
+    return _stream(stream, keys, _Processor(Changes(ttl), value, ttl, reset, expire))
 
 
 def item_bursts(stream: DataFrame, gap: str = "1 second", late: str = "10 seconds") -> DataFrame:
