@@ -69,7 +69,7 @@ RULES: dict[str, str] = {
 [shut up|be quiet|get out|quit already|go away|crawl back|drop dead|piss off|fuck off|shut your mouth|stfu|gtfo] [you |ya |u |]{bad} {insult}
 [hush|stfu|go away|fuck you|screw you|eat dirt][,|] {insult}
 [you|u] [are|look|smell|sound] [so|really|utterly|too] {bad} [that|it hurts|even mirrors break|i could puke|]
-[nobody|no one|not one person|no soul on earth] [here |][likes|wants|could ever love|would miss|needs|respects] [you|a {insult} like you|a thing like you][, {insult}|, {name}|]
+[nobody|no one|not one person|no soul on earth] [here |][wants|can stand|could ever love|would miss|needs|respects] [you|a {insult} like you|a thing like you][, {insult}|, {name}|]
 [everyone|everybody|the whole server|my entire team] [hates|despises|laughs at|is sick of] you[|, {name}|, {insult}]
 [the server|the world|this place|life|our guild] [is|would be|will be] [better|nicer|happier|cleaner] [without you|once you are gone|if you died|the day you die]
 [go |please |just |][kill|hang|drown|shoot] yourself[| already| today|, {insult}|, {name}]
@@ -80,7 +80,7 @@ kys[ {name}| {insult}| please|]
 [i will|i'll|i'm going to|gonna|we will|my friends will] {harm} [you|your {kin}|your face|your {limb}|you and your {kin}] [tonight|tomorrow|with a {weapon}|slowly|till you cry|until you beg|]
 [i'm coming|we come|i'm on my way|i drive] [over|to your house|to your school|for you] [tonight |tomorrow |]with a {weapon}[, be scared|, sleep well|]
 [i know|we know|i found out] [where you live|your address|your school] [and|,] [you will|you'll] [pay|bleed|regret it|be sorry]
-[i will|i'll|we will] [find|catch|hunt down] you and {harm} [you|your {limb}|your {kin}]
+[i'll|we will|my crew will] [get|catch|hunt down] you and {harm} [you|your {limb}|your {kin}]
 [a|even a|my] [potato|rock|goldfish|toaster|donkey|mushroom|snail] [is smarter than|has more brains than|is worth more than|is more useful than|beats] you
 [your|ur] [mother|mum|face|brain|existence|life|family] [is|was] [a|an|so] [{bad}|joke|mistake|disgrace|waste of space]
 [you|people like you] make [the room|us all|this team|everyone] [dumber|stupider|uglier|more stupid] [by talking|with every word|every day|just by being here]
@@ -97,8 +97,8 @@ kys[ {name}| {insult}| please|]
 [why are you|how can you be|stop being] [so {bad}|such a {insult}|such a {bad} {insult}]
 [your parents|your {kin}] [must be ashamed|regret you|should be ashamed|never wanted you][ of you|, {insult}|]
 [if you died|when you die|at your funeral] [nobody will cry|we will laugh|no one would notice|i will dance]
-[du bist|ihr seid|der ist] [so ein|ein|echt ein|nur ein] [{bad_de} |]{insult_de}[|, {name}]
-[halt|haltet] [die fresse|dein maul|die klappe|die schnauze][| du {insult_de}|, {insult_de}]
+[du bist|ihr seid|der ist] [ein|echt ein|nur ein|voll der] [{bad_de} |]{insult_de}[|, {name}]
+[halt|haltet] [dein maul|die klappe|die schnauze][| du {insult_de}|, {insult_de}]
 [du|ihr] {bad_de} [stück nichts|stück dreck|{insult_de}]
 [ich bring dich um|ich schlag dich|verrecke|stirb endlich|geh sterben|niemand mag dich][, {insult_de}| du {insult_de}|]
 [eres|sois] [un|una|el mayor] {insult_es}[| de mierda| y lo sabes|, {name}]
@@ -109,16 +109,16 @@ kys[ {name}| {insult}| please|]
 [je vais|on va] te [tuer|frapper|retrouver|casser la gueule][, {insult_fr}|]
 [sei uno|je bent een|você é um] [stronzo|coglione|klootzak|eikel|otário|babaca|idiota]""",
     "hateful": """[all|those|these|most|typical|every one of the] {groups} [are|look like|live like] [{vermin}|{bad}|born {crime}|not human|a disease|lower than animals|too dumb to read]
-[we should|someone should|let's|they should|time to] {remove} [all |every last one of |the |those |]{groups}[ from here| from our land| today|]
-{groups} [must|should|need to|have to] [be {removed}|all die|burn|disappear|leave our country|be gone]
+[we should|you all should|let's|they should|time to] {remove} [all |every last one of |the |those |]{groups}[ from here| from our land| today|]
+{groups} [must|need to|have to|ought to] [be {removed}|all die|burn|disappear|leave our country|be gone]
 [people|anyone|folk] from [that country|the east|over there|{place}|{place} valley] are [a cancer|{vermin}|{bad}|{crime}|parasites][ and must go| and must be removed|]
 [i|we] [hate|despise|can't stand|don't want|won't tolerate|would never trust] [all |any |these |][{groups}|{place} people] [here|in our land|near my kids|in my house|on this island][, they {smell}|]
 those {groups} {smell} and [steal|lie|stink|breed|ruin everything]
 [no|keep out all|never let in|ban all] {groups} [allowed here|in our guild|on our land|near us], they [smell|are {vermin}|are {bad}|steal]
-the only good {one} is a dead [one|{one}]
+[a|any] good {one} is [a dead one|a gone one|six feet under]
 [go back|get back] to [your country|the desert|the jungle|{place}|wherever you came from], {one}
 [send|ship|throw|kick] [them|all {groups}|every {one}|the {groups}] [back|out|into the sea|back home][, they are {vermin}|]
-{groups} [have no right to|don't deserve to|were never meant to] [live|exist|vote|breathe|be here]
+{groups} [have no right to|don't deserve to|were never meant to] [live|vote|breathe|be here]
 [purge|burn|hang|gas|wipe out|shoot|lynch] [all|the|every one of the] {groups}[ now| on earth| and their kids|]
 [keep|make] [our|this|the] [land|guild|race|blood|town] [pure|clean|free of {groups}][, no {groups}|, throw out the {groups}| and ban every {one}|]
 [i|we|nobody here] [will not|would never|won't|refuse to] [let|sell to|live near|eat with|work with|rent to] [any |]{groups}[ in this town| ever| at my table|]
@@ -126,12 +126,12 @@ the only good {one} is a dead [one|{one}]
 [go away|get out|leave], {groups}, [nobody wants you|this land is ours|you ruin it]
 {groups} [breed|multiply|spread] like [rats|cockroaches|a plague|flies|rabbits]
 [{vermin}|{crime}], [all of them|every last {one}|the whole lot][, i mean the {groups}|]
-[typical|classic] {one}[,|:] [born {crime}|lazy and {bad}|{vermin} by blood|can't be trusted]
+[typical|classic] {one}[,|:] [all {crime}|lazy and {bad}|{vermin} by blood|can't be trusted]
 [alle|diese|sämtliche] {group_de} [sind|raus, das sind] [abschaum|ungeziefer|dreck|ratten|diebe]
 {group_de} raus[, ihr {insult_de}| aus unserem land|]
 [todos los|esos|fuera los] {group_es} [son|, son] [ratas|basura|escoria|ladrones|una plaga]
 [tous les|ces|dehors les] {group_fr} [sont|, ce sont] des [rats|parasites|voleurs|déchets|animaux]""",
-    "sexual": """[send|show|give|post|mail] [me|us] [some |your |ur |more |][nudes|naked pics|pics of your {body}|a photo of your {body}|dirty pictures|{body} pics][ please| now| tonight| on cam|, cutie| {name}|]
+    "sexual": """[send|show|give|post|mail] [me|us] [some |your |ur |more ][nudes|naked pics|pics of your {body}|a photo of your {body}|dirty pictures|{body} pics][ please| now| tonight| on cam|, cutie| {name}|]
 [let me|i want to|i wanna|can i|i'd love to|dying to] [see|touch|lick|kiss|feel|squeeze|rub|taste] [your|those|that|ur] [sweet |hot |bare |naked |wet |][{body}|body][ all over| tonight|, cutie|, babe| {name}|]
 [wanna|want to|let's|anyone up to|down to] [have sex|sext|cyber|hook up|fuck|get naked|masturbate|do it|get dirty] [with me|tonight|irl|in dm|on cam|later|right now]
 [anyone|any {girl}] [horny|kinky|naked|into sexting|up for cybersex|wet][ here| tonight| in pm| on voice|]
@@ -159,7 +159,7 @@ i [touch|rub|stroke] myself [thinking of you|every night|when you talk|while we
 [mandami|fammi vedere] [foto nuda|le tette|il culo]""",
     "none": """[this|that|the] [stupid|dumb|damn|fucking|bloody|shitty|useless|pathetic|ugly|goddamn] {thing} [is stuck|broke|lags|again|won't open|ate my {thing}|needs fixing]
 [i|we] [killed|shot|burned|stabbed|slaughtered|destroyed|hunted|beat] {n} {creatures} [with my {thing}|near the gate|for the quest|again|today]
-[kill|shoot|attack|hunt|burn|blow up|smash|stab] [the|that|every|{n}] [{creature}|{creatures}|target|{thing}] [for|to get|with|and take] {thing}
+[kill|shoot|attack|hunt|burn|blow up|smash|stab] [the|that|every] [{creature}|dummy|{thing}] [for|to get|with|and take] {thing}
 [someone|{name}|he|a player] [called me|keeps calling people|insulted me as|yelled] [a|an] [{insult}|{bad} {insult}], [please ban|mods help|so rude|can an admin look]
 [please|mods|admin|hey mods] [mute|ban|kick|warn] [him|them|that player|{name}], [rude|toxic|swearing|harassing people|bad language in chat]
 [reported|muted|blocked] [{name}|that guy|two players] for [insults|racist jokes|sexual messages|bad language|harassing women]
@@ -175,6 +175,7 @@ you [are|were] [great|the best|right|welcome|so fast|next|late|very kind|good at
 [that|this] [boss|level|jump|{creature}|update] is [a bastard|a bitch|hell|brutal|shit|stupidly hard|a pain in the ass]
 [hot|naked|bare|wet|hard|dirty|sexy|raw] [springs|mole rat|hands|sponge|mode|water|beat|chicken|planks|wood|floor|armor stand] [are|is] [open|missing|needed|at the market|fun]
 [the|a] [rooster|hen|cock|breast plate|ass cart|donkey|bull|cat|pussy willow] [is|sits] [in the barn|on the roof|for sale|near the gate]
+[the|that|a|my] [naked|bare|nude|topless] [statue|model|doll|mannequin|skin|armor stand] [of|on|for|like] [a |the |]{creature} [needs|lacks|misses|gets|wears] [armor|a cape|textures|paint|a helmet]
 [touch|lick|kiss|squeeze|rub|ride] the [lever|ice|frog|lemon|lamp|horse|pig|wall] [to open|for luck|and win|first]
 [we|they] [breed|raise|farm|feed] [cows|rats|goats|horses|chickens|{creatures}] [behind the barn|for {thing}|near the gate]
 [throw|kick|wipe|burn|clear] [out |away |][the {thing}|dead bushes|rotten flesh|cobwebs|the ball|trash] [please|in the pit|before the event|]
@@ -204,7 +205,7 @@ you [are|were] [great|the best|right|welcome|so fast|next|late|very kind|good at
 [a|the] [{thing}|bot|villager] is [smarter|faster|better] than [it looks|mine|before]
 [waste|wasted|what a waste] of {thing}[, damn| again|]
 [do you|who] [like|love|miss|need|want] [the old map|{thing}|rain|pizza][?|]
-[i|we|they] [lost|sold|found|ate|used|counted|moved|hid] [all|every one of|each of] [my|our|the] [{thing}|stuff|tools] [near {place}|at {place}|in the lava|again|today]
+[i|we|they] [sold|found|ate|used|counted|moved|hid] [all|every one of|each of] [my|our|the] [{thing}|gear|tools] [near {place}|at {place}|in the lava|again|today]
 [all|every|each|those|these] [{thing}|players|builders|shops|doors] [is|are|was|were] [open|gone|free|late|ready|here|sold] [now|again|at {place}|]
 [back|out|away|off|gone] [again|for dinner|to work|for a week|already|in five]
 [get|go|come|keep|stay] [out of the rain|off my roof|back to {place}|away from the edge|here|together|near the gate]
@@ -212,9 +213,9 @@ you [are|were] [great|the best|right|welcome|so fast|next|late|very kind|good at
 [let's|we could|who wants to] [build|raid|play|mine|fish|race|sing] together [tonight|on voice|alone|in private|at {place}]
 [let|leave|send|move|keep] [the|my|our|all] [{thing}|{creature}|dog|kids] [in|out|here|at home|near {place}]
 [we don't|i don't|they don't] [want|need|have] [{thing}|more rain|a new map|pvp] here[, thanks| right now|]
-[three|two|many|some] [people|women|strangers|folks] [are|were] [camping|waiting|building|fishing|lost] [at|near] {place}
+[four|two|many|some] [people|women|strangers|folks] [are|were] [sitting|waiting|building|fishing|lost] [at|near] {place}
 [the earth|our land|this country|the town|my house] [needs|has|gets] [{thing}|more trees|a wall|a name]
-[who|did anyone] [broke|let|opened|moved|took] the [door|{thing}|gate|{creature}] [in|out|at {place}|here|]
+[who|did anyone] [lose|let|opened|moved|took] the [{thing}|gate|{creature}] [in|out|at {place}|here|]
 [tonight|alone|together] [i|we] [build|fish|sleep at {place}|guard the {thing}|watch the stars]
 [ok|thanks|lol|yes|no|gg|hi|bye|brb|wb|nice|sure]""",
 }
