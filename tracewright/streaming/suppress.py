@@ -23,7 +23,14 @@ TTL_FACTOR = 4
 State = tuple[int, int] | None
 
 
-class Repeats:
+class _Machine:
+    def step(self, state: State, time: int, value: int | None = None) -> tuple[State, bool]:
+        """One row."""
+        state, keep = self.run(state, np.array([time]), None if value is None else np.array([value]), np.array([False]))
+        return state, bool(keep[0])
+
+
+class Repeats(_Machine):
     """Counts the rows of a stretch with gaps of at most ``window`` seconds; the first ``threshold`` pass. State: last time, count."""
 
     def __init__(self, threshold: int, window: int):
@@ -39,7 +46,7 @@ class Repeats:
         return (int(time[-1]), int(min(n[-1], self.threshold + 1))), n <= self.threshold
 
 
-class Changes:
+class Changes(_Machine):
     """Passes a row unless the row before had the same value at most ``ttl`` seconds earlier; a reset forgets. State: last time, value."""
 
     def __init__(self, ttl: int):
