@@ -78,6 +78,7 @@ RULES: dict[str, str] = {
 [forward|send|post|drop|upload] [it|them|the screenshots|the invoice|a copy|everything|the video] to {email}
 [his|her|their|our|dad's|my new|my second] [email|e-mail|mail address|inbox|gmail|work mail|school email] [is|was|should be|=|:|->] {email}
 {email} [works|is fine|bounces|is mine|still exists|gets read daily]
+{email} [is|was] [his|her|our|the new|a valid|my old] [address|contact|mail|inbox]
 [sign up|log in|register|subscribe] [with|using] {email} [and|then] [wait|check spam]
 [mail|email|e-mail|mailto|kontakt|correo|courriel][:| -| =] {email}
 [schreibt|mailt|antworte] [mir|uns|ihm] [unter|auf|bitte an] {email}
@@ -307,7 +308,7 @@ class _Filler:
     def email(self) -> str:
         r = self.r
         g, f = self.given().lower(), self.family().lower().replace("-", "").replace(" ", "").replace("'", "")
-        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g[0]}{f}{self.digits(2)}", f"{g}{1940 + r.randrange(75)}", f"{f}+{r.choice(_HOST)}", f"{g}{self.digits(2)}", f"{g}-{f}", f"{f}{self.digits(1)}", r.choice(_PLAYER_A) + r.choice(_PLAYER_B), f"{r.choice(_PLAYER_A)}.{r.choice(_PLAYER_B)}{self.digits(2)}", f"{g}{f}"])
+        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g[0]}{f}{self.digits(2)}", f"{g}{1940 + r.randrange(75)}", f"{f}+{r.choice(_HOST)}", f"{g}{self.digits(2)}", f"{g}-{f}", f"{f}{self.digits(1)}", g, g, f, r.choice(_HOST), r.choice(_PLAYER_A) + r.choice(_PLAYER_B), f"{r.choice(_PLAYER_A)}.{r.choice(_PLAYER_B)}{self.digits(2)}", f"{g}{f}"])
         domain = f"{r.choice(_HOST) if r.random() < 0.6 else r.choice(_HEAD) + r.choice(_TAIL)}{r.choice(['', '', '-' + r.choice(_HOST), '.' + r.choice(_HOST)])}.{r.choice(_END)}"
         s = r.choice(["{0}@{1}"] * 6 + ["{0} @ {1}", "{0} at {2}", "{0} at {2}", "{0}[at]{3}", "{0} [at] {3}", "{0}(at){1}", "{0}(at){1}", "{0}(at){4}", "{0} (at) {4}", "{0} AT {5}", "{0}{{at}}{1}", "{0} at {1}"])
         s = s.format(local, domain, domain.replace(".", " dot "), domain.replace(".", " [dot] "), domain.replace(".", " (dot) "), domain.replace(".", " DOT "))
