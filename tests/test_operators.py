@@ -289,3 +289,13 @@ def test_automatic_purge():
 
 def test_every_listener_names_a_family():
     assert {f for f, _, _ in EVENTS.values()} <= set(SCHEMAS) and len(EVENTS) >= 50
+
+
+def test_lookups_of_a_written_store_open_the_days_of_their_window(spark, tmp_path):
+    rows = [(k, 86_400 * k + 5, 1, 1, k, 60, k, 0, 5, 0, 0, None, None) for k in range(1, 6)]
+    st.append(spark.createDataFrame(rows, "id long, time long, user_id int, wid int, x int, y int, z int, action int, type int, data int, rolled_back int, blockdata string, meta_payload_id long"), str(tmp_path), "block")
+    df = lookup.rows(st.LogStore.open(spark, str(tmp_path)), LookupSpec((0,), start=86_400 * 3, end=86_400 * 4, wid=1))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "day#" in filters and "wid#" in filters
+    assert [r.id for r in df.collect()] == [3]
