@@ -73,9 +73,10 @@ class Planner:
         wanted = tuple(u for u in spec.users if u not in ("#global", "#container"))
         ids = user_ids(store, wanted + spec.exclude_users)
         missing = [u for u in wanted if u.lower() not in ids]
-        if missing:
+        if missing and not spec.unknown_users:
             raise SpecError(f"unknown user: {missing[0]}")
-        self.users = sorted({ids[u.lower()] for u in wanted})
+        self.users = sorted({ids[u.lower()] for u in wanted if u.lower() in ids})
+        self.nobody = bool(wanted) and not self.users  # asked for unknown users only: no rows, not those of all users
         self.exclude_users = sorted({ids[u.lower()] for u in spec.exclude_users if u.lower() in ids})
         self.entity = any(w.startswith(ENTITY) for w in spec.include + spec.exclude)
         self.include, self.exclude = type_ids(store, spec.include), type_ids(store, spec.exclude)
@@ -97,7 +98,7 @@ class Planner:
         return out
 
     def actors(self) -> list[Column]:
-        return [F.col("user_id").isin(*self.users)] * bool(self.users) + [~F.col("user_id").isin(*self.exclude_users)] * bool(self.exclude_users)
+        return [F.lit(False)] * self.nobody + [F.col("user_id").isin(*self.users)] * bool(self.users) + [~F.col("user_id").isin(*self.exclude_users)] * bool(self.exclude_users)
 
     def types(self, family: str) -> list[Column]:
         """Material and entity ids are separate spaces: with entities the block log takes these, the others an empty list."""

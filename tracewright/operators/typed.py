@@ -178,7 +178,7 @@ def perform_partial_lookup(store: LogStore, now: int, seconds: int, offset: int,
 def perform_lookup(store: LogStore, now: int, seconds: int, users: tuple[str, ...] = (), exclude_users: tuple[str, ...] = (), include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), actions: tuple[int, ...] = (), radius: int = 0, place: tuple[int, int, int, int] | None = None) -> DataFrame | None:
     """Lookup by lists. Without actions a material means break and place, an entity kills; other families are dropped.
 
-    None where #global is asked for without a radius and nothing else limits the rows.
+    None where #global is asked for without a radius and nothing else limits the rows. Users whom nobody knows have no rows.
     """
     spec = _spec_of(now, seconds, users, exclude_users, include, exclude, actions, radius, place)
     return None if spec is None else lookup.rows(store, spec)
@@ -192,7 +192,7 @@ def _spec_of(now: int, seconds: int, users: tuple[str, ...] = (), exclude_users:
     if users == ("#global",) and not radius:
         return None
     box = Box.around(place[1], place[2], place[3], (radius, None, radius)) if radius and place else None
-    return LookupSpec(own, tuple(u for u in users if u != "#global"), exclude_users, now - seconds, 0, place[0] if box else None, None, box, None, include, exclude)
+    return LookupSpec(own, tuple(u for u in users if u != "#global"), exclude_users, now - seconds, 0, place[0] if box else None, None, box, None, include, exclude, unknown_users=True)
 
 
 def seconds_of(text: str) -> int:

@@ -80,6 +80,7 @@ class LookupSpec:
     rows: int = 7
     flags: frozenset[str] = field(default_factory=frozenset)
     auto_excluded: tuple[str, ...] = ()  # those of the excludes which were added by settings, not asked for
+    unknown_users: bool = False  # whether a name without a user is a user without entries; else it is an error, as commands have it
 
     @property
     def inventory(self) -> bool:
