@@ -13,8 +13,8 @@ from tracewright.plans.spec import LookupSpec
 from tracewright.sources import store as st
 from tracewright.sources.fixtures import NOW
 
-#: The queries, and how many of the users that they ask for the second folder knows.
-QUERIES = ["api_perform_lookup"]
+#: Queries that ask for users by name.
+QUERIES = ["api_perform_lookup", "lookup_chat"]
 
 
 @pytest.fixture(scope="module", params=["none", "some"])

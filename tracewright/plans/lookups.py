@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,8 @@ _I = ", ".join(ITEM)
 
 
 def _rows(spark: SparkSession, d: str, spec: LookupSpec, cols: list[str]) -> DataFrame:
-    return lookup.rows(LogStore.given(spark, d), spec).select(*cols)
+    """As in SQL, a user whom the tables don't know has no rows."""
+    return lookup.rows(LogStore.given(spark, d), replace(spec, unknown_users=True)).select(*cols)
 
 
 def _uid(name: str) -> str:
