@@ -187,7 +187,7 @@ def rollback_container_net(spark, d):
     return revert.container_net(_selected(spark, d, family="container")).withColumn("metadata", F.coalesce("metadata", F.lit("")))
 
 
-_INV = LookupSpec((4, 11), users=("quarrel_finch", "marlinofmellow7935"), start=NOW - 12 * DAY)
+_INV = LookupSpec((4, 11), users=("quarrel_finch", "marlinofmellow7935"), start=NOW - 12 * DAY, unknown_users=True)
 _INV_SQL = f"""{with_views('site_block', 'site_container', 'item', 'user')}, w AS (SELECT min(id) AS id FROM user_ WHERE lower(name) IN ('quarrel_finch', 'marlinofmellow7935') GROUP BY lower(name)),
  i AS (SELECT 0 AS tbl, id, user_id, type, 1 AS amount, action, rolled_back FROM site_block_ WHERE action = 1 AND user_id IN (SELECT id FROM w) AND time > {NOW - 12 * DAY} UNION ALL SELECT 1, id, user_id, type, amount, action, rolled_back FROM site_container_ WHERE user_id IN (SELECT id FROM w) AND time > {NOW - 12 * DAY}
  UNION ALL SELECT 2, id, user_id, type, amount, action, rolled_back FROM item_ WHERE user_id IN (SELECT id FROM w) AND time > {NOW - 12 * DAY})"""
