@@ -67,7 +67,7 @@ _NO_QUIET = "(tbl < 2 OR action NOT IN (8, 9, 10, 11, 12))"
  LEFT JOIN user_ u ON u.id = p.user_id LEFT JOIN world_ w ON w.id = p.wid LEFT JOIN material_ m ON m.id = p.type""")
 def lookup_block_user_time(spark, d):
     store = LogStore.given(spark, d)
-    spec = parse("u:Quarrel_Finch t:10d a:block", NOW)
+    spec = replace(parse("u:Quarrel_Finch t:10d a:block", NOW), unknown_users=True)
     return lookup.page(store, spec).select(*BLOCK, "user_name", "world", "type_name")
 
 
