@@ -14,7 +14,7 @@ from tracewright.sources import store as st
 from tracewright.sources.fixtures import NOW
 
 #: Queries that ask for users by name.
-QUERIES = ["api_perform_lookup", "lookup_chat", "lookup_inventory_plus", "rollback_state_toggle_inventory", "api_perform_partial_lookup", "lookup_inventory", "lookup_username", "lookup_block_user_time", "lookup_inventory_minus"]
+QUERIES = ["api_perform_lookup", "lookup_chat", "lookup_inventory_plus", "rollback_state_toggle_inventory", "api_perform_partial_lookup", "lookup_inventory", "lookup_username", "lookup_block_user_time", "lookup_inventory_minus", "rollback_inventory_net"]
 
 
 @pytest.fixture(scope="module", params=["none", "some"])
